@@ -15,7 +15,21 @@ from pyspark.sql import functions as F
 from cohortpulse.operators.aggregate import one
 
 
-def fact_profile(key: str, facts: Mapping[str, tuple[DataFrame, Mapping[str, Column]]]) -> DataFrame:
+Facts = Mapping[str, tuple[DataFrame, Mapping[str, Column]]]
+
+
+def _addends(key: str, facts: Facts) -> list[DataFrame]:
+    return [
+        df.select(key, one().alias(f"n_{name}"), *(c.cast("bigint").alias(m) for m, c in measures.items()))
+        for name, (df, measures) in facts.items()
+    ]
+
+
+def _sums(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(*(F.sum(c).alias(c) for c in rows.columns if c != key))
+
+
+def fact_profile(key: str, facts: Facts) -> DataFrame:
     """One row per key that occurs in any fact.
 
     ``facts`` maps a fact's name to its table and its measures (name -> numeric column, null = no addend). Each
@@ -24,12 +38,16 @@ def fact_profile(key: str, facts: Mapping[str, tuple[DataFrame, Mapping[str, Col
     The facts are stacked and summed in one aggregation, so there is one shuffle for all of them, the sums
     are formed before it, and no join or sort takes place.
     """
-    stacked = [
-        df.select(key, one().alias(f"n_{name}"), *(c.cast("bigint").alias(m) for m, c in measures.items()))
-        for name, (df, measures) in facts.items()
-    ]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
-    return rows.groupBy(key).agg(*(F.sum(c).alias(c) for c in rows.columns if c != key))
+    return _sums(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _addends(key, facts)), key)
+
+
+def join_profile(entities: DataFrame, key: str, facts: Facts) -> DataFrame:
+    """``entities`` with the columns of :func:`fact_profile`, each fact summed and joined by itself.
+
+    For tables bucketed by ``key``: sums and joins then run bucket by bucket without any shuffle, which the
+    stacked form cannot do, as a union gives up the bucketing of its inputs.
+    """
+    return reduce(lambda a, rows: a.join(_sums(rows, key), key, "left"), _addends(key, facts), entities)
 
 
 def multiplicity(rows: Column) -> Column:

@@ -64,7 +64,7 @@ def orphan_counts(entities: DataFrame, key: str, facts: Mapping[str, DataFrame])
         [df.select(key, *(F.lit(name == other).alias(other) for other in names)) for name, df in facts.items()]
     )
     keys = seen.groupBy(key).agg(*(F.max(n).alias(n) for n in names))
-    lost = keys.join(entities.select(key), key, "left_anti")
+    lost = keys.join(entities.select(key).distinct(), key, "left_anti")
     return lost.agg(
         F.array(
             *(F.struct(F.lit(n).alias("table"), F.count_if(F.col(n)).alias("orphans")) for n in names)

@@ -215,8 +215,8 @@ def kpi_contact(clean: Tables) -> DataFrame:
 
 
 def silent_by_grade(clean: Tables) -> DataFrame:
-    """A student is silent without messages: an anti join on ids, nothing is counted per message."""
-    heard = clean["communication"].select(KEY)
+    """A student is silent without messages: an anti join on distinct ids, nothing is counted per message."""
+    heard = clean["communication"].select(KEY).distinct()
     silent = clean["students"].select(KEY, "Grade_Level").join(heard, KEY, "left_anti")
     return silent.groupBy("Grade_Level").agg(F.count("*").alias("Silent_Students")).orderBy("Grade_Level")
 

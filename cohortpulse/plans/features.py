@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortpulse.functions import ENTITY_BANDS, band, half_even
 from cohortpulse.operators.aggregate import flag
-from cohortpulse.operators.fanout import fact_profile
+from cohortpulse.operators.fanout import Facts, fact_profile, join_profile
 from cohortpulse.plans.labels import RISK_ATTENDANCE, RISK_MISSED, RISK_SCORE
 from cohortpulse.sources.schemas import KEY
 from cohortpulse.sources.tables import Tables
@@ -15,27 +15,22 @@ from cohortpulse.sources.tables import Tables
 ATTENDANCE_RATE = "Attendance_Rate_%"
 
 
+def _facts(clean: Tables) -> Facts:
+    score = F.col("Exam_Score")
+    return {
+        "attendance": (clean["attendance"], {"present": flag(F.col("Attendance_Status") == "Present")}),
+        "homework": (
+            clean["homework"],
+            {"done": flag(F.col("Status") == "Done"), "missed": flag(F.col("Status") == "Not Done")},
+        ),
+        "performance": (clean["parsed_performance"], {"score_sum": score, "scores": flag(score.isNotNull())}),
+        "communication": (clean["communication"], {}),
+    }
+
+
 def student_profile(clean: Tables) -> DataFrame:
     """Sums per student id over the four clean facts, ids unknown to the students table included."""
-    score = F.col("Exam_Score")
-    return fact_profile(
-        KEY,
-        {
-            "attendance": (
-                clean["attendance"],
-                {"present": flag(F.col("Attendance_Status") == "Present")},
-            ),
-            "homework": (
-                clean["homework"],
-                {"done": flag(F.col("Status") == "Done"), "missed": flag(F.col("Status") == "Not Done")},
-            ),
-            "performance": (
-                clean["parsed_performance"],
-                {"score_sum": score, "scores": flag(score.isNotNull())},
-            ),
-            "communication": (clean["communication"], {}),
-        },
-    )
+    return fact_profile(KEY, _facts(clean))
 
 
 def at_risk_rule(
@@ -70,9 +65,15 @@ def with_features(profiled: DataFrame) -> DataFrame:
     )
 
 
-def student_summary(clean: Tables) -> DataFrame:
-    """Two shuffles in all: one stacked aggregation of the facts, one of the students for the join."""
-    profiled = clean["students"].join(student_profile(clean), KEY, "left")
+def student_summary(clean: Tables, bucketed: bool = False) -> DataFrame:
+    """Two shuffles in all: one stacked aggregation of the facts, one of the students for the join.
+
+    ``bucketed`` says that the tables are bucketed by student id; then there is none.
+    """
+    if bucketed:
+        profiled = join_profile(clean["students"], KEY, _facts(clean))
+    else:
+        profiled = clean["students"].join(student_profile(clean), KEY, "left")
     return with_features(profiled).select(
         KEY,
         "Full_Name",

@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortpulse.plans.clean import clean_tables
 from cohortpulse.plans.features import student_summary
-from cohortpulse.sources.files import bronze_tables, write_csv, write_parquet
-from cohortpulse.sources.schemas import EXPORTED
+from cohortpulse.sources.files import bronze_tables, save_bucketed, write_csv, write_parquet
+from cohortpulse.sources.schemas import EXPORTED, SILVER
 from cohortpulse.sources.tables import Tables
 
 # Facts that dashboards read by month; the others have no month column.
 BY_MONTH = {"attendance": ("Month",), "communication": ("Month",)}
 
 
+def _stored_as(name: str) -> str:
+    """Stored performance rows carry the filled rate; whoever asks for the parsed ones uses other columns."""
+    return "performance" if name == "parsed_performance" else name
+
+
 def with_summary(clean: Tables) -> Tables:
     """The clean tables and ``student_summary``."""
     return Tables(lambda name: student_summary(clean) if name == "student_summary" else clean[name])
@@ -26,21 +31,29 @@ def write_silver(clean: Tables, root: str) -> Tables:
 
     What follows then scans columns of typed files instead of parsing and cleaning text again.
     """
-    names = ("students", "attendance", "homework", "performance", "communication")
-    for name in names:
+    for name in SILVER:
         write_parquet(clean[name], f"{root}/{name}", BY_MONTH.get(name, ()))
     spark = clean["students"].sparkSession
-    columns = {name: clean[name].columns for name in names}
 
     def reopen(name: str) -> DataFrame:
-        source = "performance" if name == "parsed_performance" else name
-        return spark.read.schema(clean[source].schema).parquet(f"{root}/{source}").select(
-            *(f"`{c}`" for c in columns[source])
-        )
+        stored = _stored_as(name)
+        found = spark.read.schema(SILVER[stored]).parquet(f"{root}/{stored}")
+        return found.select(*clean[stored].columns)
 
     return Tables(reopen)
 
 
+def save_silver(clean: Tables, database: str, buckets: int) -> Tables:
+    """The five clean tables as catalog tables bucketed by student id; returns them opened from the catalog.
+
+    Every later grouping by or join on the student id, the feature table included, needs no shuffle.
+    """
+    for name in SILVER:
+        save_bucketed(clean[name], f"{database}.{name}", buckets)
+    spark = clean["students"].sparkSession
+    return Tables(lambda name: spark.table(f"{database}.{_stored_as(name)}"))
+
+
 def export_csv(tables: Tables, root: str) -> None:
     """The five dashboard inputs as CSV folders below ``root``, replacing earlier ones."""
     for name in EXPORTED:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +40,14 @@ def _day(c: Column, us_format: Column) -> Column:
     return F.when(us_format, F.date_format(c, "MM-dd-yyyy")).otherwise(c.cast("date").cast("string"))
 
 
-def _students(read: Callable[[str], DataFrame]) -> DataFrame:
+def _students(files: Tables) -> DataFrame:
     n = F.col("c_custkey")
     born = F.date_add(F.lit("2005-01-01").cast("date"), (n * 37 % 4745).cast("int"))
     padded = F.concat(
         F.when(n % 7 == 0, " ").otherwise(""), _key(n), F.when(n % 11 == 0, " ").otherwise("")
     )
     grade = F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment"))
-    return read("customer").select(
+    return files["customer"].select(
         padded.alias(KEY),
         F.col("c_name").alias("Full_Name"),
         F.concat(F.lit("Grade "), grade.cast("string")).alias("Grade_Level"),
@@ -56,24 +56,24 @@ def _students(read: Callable[[str], DataFrame]) -> DataFrame:
     )
 
 
-def _attendance(read: Callable[[str], DataFrame]) -> DataFrame:
+def _attendance(files: Tables) -> DataFrame:
     part, line = F.col("l_partkey"), F.col("l_linenumber")
     status = _pick(ATTENDANCE, (F.col("l_orderkey") * 7 + part + line * 3) % 8)
-    lines = read("lineitem").select(
+    lines = files["lineitem"].select(
         "l_orderkey",
         F.col("l_shipdate").cast("date").cast("string").alias("Date"),
         _pick(SUBJECTS, part % 6).alias("Subject"),
         F.when((part + line) % 499 == 0, "unknwn").otherwise(status).alias("Attendance_Status"),
     )
-    orders = read("orders").select("o_orderkey", "o_custkey")
+    orders = files["orders"].select("o_orderkey", _key(F.col("o_custkey")).alias(KEY))
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        _key(F.col("o_custkey")).alias(KEY), "Date", "Subject", "Attendance_Status"
+        KEY, "Date", "Subject", "Attendance_Status"
     )
 
 
-def _homework(read: Callable[[str], DataFrame]) -> DataFrame:
+def _homework(files: Tables) -> DataFrame:
     n = F.col("o_orderkey")
-    return read("orders").select(
+    return files["orders"].select(
         _key(F.col("o_custkey")).alias(KEY),
         F.concat(F.lit("HW-"), (n % 20).cast("string")).alias("Assignment_Name"),
         _pick(SUBJECTS, n % 6).alias("Subject"),
@@ -84,7 +84,7 @@ def _homework(read: Callable[[str], DataFrame]) -> DataFrame:
     )
 
 
-def _performance(read: Callable[[str], DataFrame]) -> DataFrame:
+def _performance(files: Tables) -> DataFrame:
     n = F.col("o_orderkey")
     whole = (n % 51 + 50).cast("string")
     percent = (
@@ -95,7 +95,7 @@ def _performance(read: Callable[[str], DataFrame]) -> DataFrame:
     )
     subject = _pick(SUBJECTS, F.call_function("div", n, F.lit(3)) % 6)
     return (
-        read("orders")
+        files["orders"]
         .filter(n % 3 == 0)
         .select(
             _key(F.col("o_custkey")).alias(KEY),
@@ -107,10 +107,10 @@ def _performance(read: Callable[[str], DataFrame]) -> DataFrame:
     )
 
 
-def _communication(read: Callable[[str], DataFrame]) -> DataFrame:
+def _communication(files: Tables) -> DataFrame:
     kind, signup = F.col("event_type"), F.col("event_type") == "signup"
     return (
-        read("events")
+        files["events"]
         .filter(kind.isin("click", "view", "purchase") | (signup & (F.col("event_id") % 50 == 0)))
         .select(
             F.when(signup, F.concat(F.lit("S9"), _digits(F.col("user_id"), 5)))
@@ -136,7 +136,5 @@ _BUILDERS = {
 
 
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    return Tables(lambda name: _BUILDERS[name](read))
+    files = Tables(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return Tables(lambda name: _BUILDERS[name](files))
