@@ -12,14 +12,21 @@ def parse_mixed_date(c: Column) -> Column:
     """Year-month-day, month-day-year or, failing that, day-month-year; null for anything else.
 
     Parts are reordered and cast rather than parsed with three patterns: a pattern that does not match
-    raises and catches an exception per row inside Spark, a failed ``try_cast`` does not.
+    raises and catches an exception per row inside Spark, a failed ``try_cast`` does not. Text with two-digit
+    months and days is cut by position; only what is left after that is split.
     """
-    first, second, year = (F.split_part(F.trim(c), F.lit("-"), F.lit(i)) for i in (1, 2, 3))
-    return F.coalesce(
-        c.try_cast("date"),
-        F.concat_ws("-", year, first, second).try_cast("date"),
-        F.concat_ws("-", year, second, first).try_cast("date"),
-    )
+    text = F.trim(c)
+    cut = [F.substring(text, 1, 2), F.substring(text, 4, 2), F.substring(text, 7, 4)]
+    split = [F.split_part(text, F.lit("-"), F.lit(i)) for i in (1, 2, 3)]
+
+    def as_date(year: Column, month: Column, day: Column) -> Column:
+        return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date")
+
+    def either_order(first: Column, second: Column, year: Column) -> Column:
+        return F.coalesce(as_date(year, first, second), as_date(year, second, first))
+
+    by_parts = F.when(F.length(text) == 10, either_order(*cut)).otherwise(either_order(*split))
+    return F.coalesce(c.try_cast("date"), by_parts)
 
 
 def age_by_days(born: Column, as_of: date) -> Column:

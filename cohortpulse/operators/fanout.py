@@ -29,25 +29,25 @@ def _sums(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(*(F.sum(c).alias(c) for c in rows.columns if c != key))
 
 
-def fact_profile(key: str, facts: Facts) -> DataFrame:
-    """One row per key that occurs in any fact.
+def join_profile(entities: DataFrame, key: str, facts: Facts) -> DataFrame:
+    """``entities`` with the sums of each fact, one row per entity row.
 
     ``facts`` maps a fact's name to its table and its measures (name -> numeric column, null = no addend). Each
-    measure becomes a column with the sum, null if the key has none, and ``n_<fact>`` holds the fact's rows.
+    measure becomes a column with the sum, null if the entity has none, and ``n_<fact>`` holds the fact's rows.
 
-    The facts are stacked and summed in one aggregation, so there is one shuffle for all of them, the sums
-    are formed before it, and no join or sort takes place.
+    Every fact is summed per key and left-joined on the same key, so all joins share one partitioning: a fact is
+    shuffled once, as partial sums, and not at all if it is bucketed by the key. The optimizer drops the join
+    to a fact none of whose columns is asked for, and with it the scan of that fact.
     """
-    return _sums(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _addends(key, facts)), key)
+    return reduce(lambda a, rows: a.join(_sums(rows, key), key, "left"), _addends(key, facts), entities)
 
 
-def join_profile(entities: DataFrame, key: str, facts: Facts) -> DataFrame:
-    """``entities`` with the columns of :func:`fact_profile`, each fact summed and joined by itself.
+def fact_profile(key: str, facts: Facts) -> DataFrame:
+    """The sums of :func:`join_profile` for every key that occurs in any fact, known as an entity or not.
 
-    For tables bucketed by ``key``: sums and joins then run bucket by bucket without any shuffle, which the
-    stacked form cannot do, as a union gives up the bucketing of its inputs.
+    The facts are stacked and summed in one aggregation, so there is one shuffle for all of them and no join.
     """
-    return reduce(lambda a, rows: a.join(_sums(rows, key), key, "left"), _addends(key, facts), entities)
+    return _sums(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _addends(key, facts)), key)
 
 
 def multiplicity(rows: Column) -> Column:

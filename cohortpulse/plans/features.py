@@ -65,15 +65,9 @@ def with_features(profiled: DataFrame) -> DataFrame:
     )
 
 
-def student_summary(clean: Tables, bucketed: bool = False) -> DataFrame:
-    """Two shuffles in all: one stacked aggregation of the facts, one of the students for the join.
-
-    ``bucketed`` says that the tables are bucketed by student id; then there is none.
-    """
-    if bucketed:
-        profiled = join_profile(clean["students"], KEY, _facts(clean))
-    else:
-        profiled = clean["students"].join(student_profile(clean), KEY, "left")
+def student_summary(clean: Tables) -> DataFrame:
+    """All features of each student. Selecting some of them leaves the facts of the others unread."""
+    profiled = join_profile(clean["students"], KEY, _facts(clean))
     return with_features(profiled).select(
         KEY,
         "Full_Name",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +34,9 @@ def write_silver(clean: Tables, root: str) -> Tables:
 
     What follows then scans columns of typed files instead of parsing and cleaning text again.
     """
-    for name in SILVER:
-        write_parquet(clean[name], f"{root}/{name}", BY_MONTH.get(name, ()))
+    _all_at_once(
+        [partial(write_parquet, clean[name], f"{root}/{name}", BY_MONTH.get(name, ())) for name in SILVER]
+    )
     spark = clean["students"].sparkSession
 
     def reopen(name: str) -> DataFrame:
@@ -54,10 +58,16 @@ def save_silver(clean: Tables, database: str, buckets: int) -> Tables:
     return Tables(lambda name: spark.table(f"{database}.{_stored_as(name)}"))
 
 
+def _all_at_once(jobs: Iterable[Callable[[], None]]) -> None:
+    """Independent jobs submitted together: the last tasks of one do not leave the executors idle."""
+    with ThreadPoolExecutor() as pool:
+        for job in [pool.submit(job) for job in jobs]:
+            job.result()
+
+
 def export_csv(tables: Tables, root: str) -> None:
     """The five dashboard inputs as CSV folders below ``root``, replacing earlier ones."""
-    for name in EXPORTED:
-        write_csv(tables[name], f"{root}/{name}.csv")
+    _all_at_once([partial(write_csv, tables[name], f"{root}/{name}.csv") for name in EXPORTED])
 
 
 def run(spark: SparkSession, raw_root: str, out_root: str, as_of: date, **csv_options) -> Tables:

@@ -24,7 +24,7 @@ from cohortpulse.functions import (
     strip,
 )
 from cohortpulse.operators.aggregate import count_where, flag, one, share_of_total, sums_by_attribute
-from cohortpulse.operators.fanout import fact_profile, multiplicity, product
+from cohortpulse.operators.fanout import join_profile, multiplicity, product
 from cohortpulse.operators.rank import top_n
 from cohortpulse.plans.labels import (
     AUTOMATED,
@@ -284,8 +284,10 @@ def monthly_message_volume(raw: Tables) -> DataFrame:
 
 
 def _contact_profile(raw: Tables) -> DataFrame:
-    return fact_profile(
-        KEY, {"performance": (raw["performance"], _score_measures()), "messages": (raw[COMMUNICATION], {})}
+    return join_profile(
+        raw["students"].select(*STUDENT),
+        KEY,
+        {"performance": (raw["performance"], _score_measures()), "messages": (raw[COMMUNICATION], {})},
     )
 
 
@@ -294,9 +296,7 @@ def contact_vs_score(raw: Tables) -> DataFrame:
     of exams and messages would."""
     weight = multiplicity(F.col("n_messages")).cast("decimal(19,0)")
     return (
-        raw["students"]
-        .select(KEY)
-        .join(_contact_profile(raw), KEY, "left")
+        _contact_profile(raw)
         .select(
             F.when(F.col("n_messages").isNull(), "No Communication")
             .otherwise("Has Communication")
@@ -339,9 +339,8 @@ def top5_contacted(raw: Tables) -> DataFrame:
     """``Message_Count`` counts the rows of messages joined with exams, so it exceeds the messages."""
     rows = product(F.count("*"), F.max("n_messages"), multiplicity(F.max("n_performance")))
     counted = (
-        raw["students"]
-        .select(*STUDENT)
-        .join(_contact_profile(raw).filter("n_messages > 0"), KEY)
+        _contact_profile(raw)
+        .filter("n_messages > 0")
         .groupBy(*STUDENT)
         .agg(rows.alias("Message_Count"), exact_avg(F.max("score_sum"), F.max("scores")).alias("Avg_Exam_Score"))
     )
@@ -367,7 +366,8 @@ def at_risk_fanout(raw: Tables) -> DataFrame:
     """Students at risk as the join of all four facts reports them: ``Missed_Assignments`` is multiplied by the
     rows of the other facts. Computed from one row per student; the join itself is never built. A count beyond
     64 bits is null, its student stays in the result."""
-    profile = fact_profile(
+    profiled = join_profile(
+        raw["students"].select(*STUDENT),
         KEY,
         {
             "attendance": (raw["attendance"], {"present": flag(_attendance() == "PRESENT")}),
@@ -376,15 +376,8 @@ def at_risk_fanout(raw: Tables) -> DataFrame:
             "messages": (raw[COMMUNICATION], {}),
         },
     )
-    per_student = (
-        raw["students"]
-        .select(*STUDENT)
-        .join(profile, KEY)
-        .groupBy(*STUDENT)
-        .agg(
-            F.count("*").alias("copies"),
-            *(F.max(c).alias(c) for c in profile.columns if c != KEY),
-        )
+    per_student = profiled.groupBy(*STUDENT).agg(
+        F.count("*").alias("copies"), *(F.max(c).alias(c) for c in profiled.columns if c not in STUDENT)
     )
     missed = F.coalesce("missed", F.lit(0).cast("bigint"))
     inflated = product(

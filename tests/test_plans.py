@@ -36,13 +36,33 @@ def test_shares_reuse_their_aggregation(spark, sf_dir, name):
     assert "ReusedExchange" in final_plan(QUERIES[name](spark, sf_dir))
 
 
-def test_summary_shuffles_facts_once(spark, sf_dir, no_broadcast):
+def test_summary_shuffles_each_table_once(spark, sf_dir, no_broadcast):
     plan = first_plan(QUERIES["student_summary"](spark, sf_dir))
-    by_student = re.findall(r"Exchange hashpartitioning\(Student_ID", plan)
-    # the students and the stacked facts; the other two join the derived attendance
-    assert len(by_student) == 2
+    # students and four facts by student; the other two shuffles join the derived attendance
+    assert len(re.findall(r"Exchange hashpartitioning\(Student_ID", plan)) == 5
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 7
+
+
+@pytest.mark.parametrize(
+    "name, files",
+    [
+        ("student_score_bands", {"customer", "orders"}),
+        ("avg_attendance_rate_by_grade", {"customer", "orders", "lineitem"}),
+        ("at_risk_by_grade", {"customer", "orders", "lineitem"}),
+        ("student_summary", {"customer", "orders", "lineitem", "events"}),
+    ],
+)
+def test_facts_nobody_asks_for_are_not_read(spark, sf_dir, name, files):
+    plan = first_plan(QUERIES[name](spark, sf_dir))
+    assert set(re.findall(r"(\w+)\.parquet\]", plan)) == files
+    if name == "student_score_bands":
+        assert plan.count("FileScan") == 2
+
+
+def test_executive_stacks_the_facts(spark, sf_dir, no_broadcast):
+    plan = first_plan(QUERIES["kpi_executive"](spark, sf_dir))
+    # the stacked facts and the students; the other two shuffles join the derived attendance
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 4
-    assert len(re.findall(r"SortMergeJoin", plan)) == 2
 
 
 def test_entity_rollup_shuffles_sums_not_rows(spark, sf_dir, no_broadcast):
@@ -53,8 +73,9 @@ def test_entity_rollup_shuffles_sums_not_rows(spark, sf_dir, no_broadcast):
 
 def test_fanout_never_joins_facts(spark, sf_dir, no_broadcast):
     plan = first_plan(QUERIES["at_risk_fanout"](spark, sf_dir))
-    # one join builds the derived attendance, one brings in the students
-    assert plan.count("SortMergeJoin") == 2
+    # one join builds the derived attendance, four bring per-student sums to the students
+    assert plan.count("SortMergeJoin") == 5
+    assert plan.count("LeftOuter") + plan.count("Inner") == 5
 
 
 def test_median_fill_leaves_the_fact_unshuffled(spark, sf_dir):

@@ -94,7 +94,7 @@ def test_bucketed_tables_need_no_shuffle(spark, sf_dir):
     silver = save_silver(tables, "school", 4)
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        summary = features.student_summary(silver, bucketed=True)
+        summary = features.student_summary(silver)
         plan = first_plan(summary)
         assert "Exchange" not in plan and plan.count("Bucketed: true") == 5
         assert sorted(rows(summary), key=str) == sorted(rows(features.student_summary(tables)), key=str)
