@@ -18,11 +18,14 @@ UNICODE_SPACES = (
 def strip(c: Column) -> Column:
     """Remove all Unicode white space at both ends.
 
-    Nearly all values start and end with a visible ASCII character; two one-character comparisons tell, and
-    only the others pay for the trim by character set.
+    Plain spaces go first, which is cheap. What is left nearly always starts and ends with a visible
+    character; looking at the two tells, and only other values pay for the trim by character set.
     """
-    untouched = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
-    return F.when(untouched, c).otherwise(F.trim(c, F.lit(UNICODE_SPACES)))
+    text = F.trim(c)
+    ends = (F.substring(text, 1, 1), F.substring(text, -1, 1))
+    ascii_ends = ends[0].between("!", "~") & ends[1].between("!", "~")
+    space_ends = ends[0].isin(*UNICODE_SPACES) | ends[1].isin(*UNICODE_SPACES)
+    return F.when(~ascii_ends & space_ends, F.trim(c, F.lit(UNICODE_SPACES))).otherwise(text)
 
 
 def sql_upper_trim(c: Column) -> Column:
@@ -42,8 +45,8 @@ def lookup(c: Column, mapping: Mapping[str, object]) -> Column:
 
 
 def bit_text(c: Column) -> Column:
-    """A Yes / No text as a database bit rendered as text: '1', '0', null for blank."""
-    return lookup(strip(c), {"Yes": "1", "No": "0"})
+    """A Yes / No text, a boolean or a bit as '1' or '0', the text form of a bit; null for blank."""
+    return lookup(strip(c.cast("string")), {"Yes": "1", "No": "0", "true": "1", "false": "0", "1": "1", "0": "0"})
 
 
 def percent_fraction(c: Column, negative: str = "tenth") -> Column:

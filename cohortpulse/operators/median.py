@@ -16,42 +16,44 @@ def group_median(df: DataFrame, group: str, value: str, step: float = 0.001) ->
     two steps that hold the middle ranks are put in order value by value. ``step`` changes cost, not results.
     """
     counts = (
-        df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
-        .groupBy(group, F.col(value).alias("v"))
+        df.select(F.col(group).alias("g"), F.col(value).alias("v"))
+        .filter("g IS NOT NULL AND v IS NOT NULL")
+        .groupBy("g", "v")
         .agg(F.count("*").alias("n"))
         .withColumn("bucket", F.floor(F.col("v") / step))
     )
-    by_group = Window.partitionBy(group)
+    by_group = Window.partitionBy("g")
     up_to_here = by_group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = (
-        counts.groupBy(group, "bucket")
+    middle = (
+        counts.groupBy("g", "bucket")
         .agg(F.sum("n").alias("n"))
-        .select(
-            group,
-            "bucket",
-            (F.sum("n").over(up_to_here) - F.col("n")).alias("before"),
-            F.sum("n").over(up_to_here).alias("through"),
-            F.sum("n").over(by_group).alias("size"),
+        .withColumns(
+            {
+                "through": F.sum("n").over(up_to_here),
+                "size": F.sum("n").over(by_group),
+            }
         )
-        # 0-based ranks of the middle values: lower and upper, equal for an odd size
-        .withColumn("lower", F.expr("(size - 1) div 2"))
-        .withColumn("upper", F.expr("size div 2"))
+        # "lower" and "upper": 0-based ranks of the middle values, equal for an odd size
+        .selectExpr("*", "through - n AS before", "(size - 1) div 2 AS lower", "size div 2 AS upper")
         .filter("(lower >= before AND lower < through) OR (upper >= before AND upper < through)")
+        .select(F.col("g").alias("mg"), F.col("bucket").alias("mb"), "before", "lower", "upper")
+    )
+    # Null-safe equality, though nothing is null: plain equality would add a filter to this use of the counts,
+    # and with it a second scan and shuffle.
+    same_bucket = F.col("g").eqNullSafe(F.col("mg")) & F.col("bucket").eqNullSafe(F.col("mb"))
+    up_to_value = (
+        Window.partitionBy("g", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    in_bucket = Window.partitionBy(group, "bucket").orderBy("v")
     return (
-        counts.join(buckets.drop("through", "size"), [group, "bucket"])
-        .withColumn(
-            "end",
-            F.col("before") + F.sum("n").over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
+        counts.join(middle, same_bucket)
+        .withColumn("end", F.col("before") + F.sum("n").over(up_to_value))
         .withColumn("start", F.col("end") - F.col("n"))
-        .groupBy(group)
+        .groupBy("g")
         .agg(
-            F.max(F.when(F.expr("lower >= start AND lower < end"), F.col("v"))).alias("low"),
-            F.max(F.when(F.expr("upper >= start AND upper < end"), F.col("v"))).alias("high"),
+            F.max(F.expr("CASE WHEN lower >= start AND lower < end THEN v END")).alias("low"),
+            F.max(F.expr("CASE WHEN upper >= start AND upper < end THEN v END")).alias("high"),
         )
-        .select(group, ((F.col("low") + F.col("high")) / 2).alias("median"))
+        .select(F.col("g").alias(group), ((F.col("low") + F.col("high")) / 2).alias("median"))
     )
 
 
@@ -62,9 +64,10 @@ def fill_with_group_median(df: DataFrame, group: str, value: str) -> DataFrame:
     them if they are small, which leaves ``df`` unshuffled however uneven the groups are; otherwise it joins by
     shuffle, where adaptive execution splits a skewed group.
     """
-    medians = written(group_median(df, group, value), "medians")
+    fill = f"{value} of {group}"
+    medians = written(group_median(df, group, value).withColumnRenamed("median", fill), "medians")
     return (
         df.join(medians, group, "left")
-        .withColumn(value, F.when(F.col(group).isNotNull(), F.coalesce(F.col(value), F.col("median"))))
+        .withColumn(value, F.when(F.col(group).isNotNull(), F.coalesce(F.col(value), F.col(fill))))
         .select(*df.columns)
     )

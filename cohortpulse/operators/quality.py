@@ -33,24 +33,19 @@ def counts_report(tables: Mapping[str, tuple[DataFrame, Mapping[str, Column]]])
     parts = []
     for name, (df, conditions) in tables.items():
         counted = df.agg(
-            F.count("*").alias("rows"),
-            F.array(
-                *(F.struct(F.lit(c).alias("column"), F.count_if(p).alias("nulls")) for c, p in conditions.items())
-            ).alias("found"),
+            F.count("*").alias("rows"), *(F.count_if(p).alias(f"c{i}") for i, p in enumerate(conditions.values()))
         )
+        entries = ", ".join(f"struct('{c}' AS column, c{i} AS nulls)" for i, c in enumerate(conditions))
         parts.append(
-            counted.select(
-                F.lit(name).alias("table"),
-                "rows",
-                F.lit(len(df.columns)).cast("bigint").alias("columns"),
-                F.inline("found"),
+            counted.selectExpr(
+                f"'{name}' AS table", "rows", f"{len(df.columns)}L AS columns", f"inline(array({entries}))"
             )
         )
     return _stack(parts)
 
 
 def null_conditions(df: DataFrame) -> dict[str, Column]:
-    return {c: F.col(f"`{c}`").isNull() for c in df.columns}
+    return {c: F.expr(f"`{c}` IS NULL") for c in df.columns}
 
 
 def orphan_counts(entities: DataFrame, key: str, facts: Mapping[str, DataFrame]) -> DataFrame:

@@ -144,6 +144,13 @@ CLEANING = {
     for t in ("students", "attendance", "homework", "performance", "communication")
 }
 
+CLEANING["clean_performance_negatives_null"] = """
+    SELECT r.Student_ID, r.Subject, r.Exam_Score, r."Homework_Completion_%",
+           CASE WHEN r.Subject IS NOT NULL THEN coalesce(r.positive, m.med) END AS CompletionRate
+    FROM (SELECT *, CASE WHEN "Homework_Completion_%" <> '-5' THEN parsed END AS positive FROM parsed_performance) r
+    LEFT JOIN (SELECT Subject, median(parsed) FILTER ("Homework_Completion_%" <> '-5') AS med
+               FROM parsed_performance GROUP BY Subject) m ON r.Subject = m.Subject"""
+
 FEATURES = {
     "student_summary": "SELECT * FROM student_summary",
     "at_risk": "SELECT * FROM student_summary WHERE Is_At_Risk",
@@ -197,6 +204,8 @@ AUDIT = {
             WHERE NOT EXISTS (SELECT 1 FROM students s WHERE s.Student_ID = f.Student_ID)"""
         for t in FACTS
     ),
+    "preview_communication": "SELECT * FROM communication ORDER BY Student_ID, Date, Message_Type LIMIT 5",
+    "preview_summary": "SELECT * FROM student_summary ORDER BY Student_ID, Full_Name LIMIT 5",
     "preview_students": "SELECT * FROM students ORDER BY Student_ID, Full_Name LIMIT 5",
     "raw_shapes": _stack(
         f"""SELECT '{_raw_name(t)}' AS "table", count(*) AS "rows", {width}::BIGINT AS "columns" FROM raw_{t}"""

@@ -34,6 +34,14 @@ def preview_students(clean: Tables, rows: int = 5) -> DataFrame:
     return top_n(clean["students"], rows, F.col(KEY).asc(), "Full_Name")
 
 
+def preview_communication(clean: Tables, rows: int = 5) -> DataFrame:
+    return top_n(clean["communication"], rows, F.struct(KEY, "Date").asc(), "Message_Type")
+
+
+def preview_summary(clean: Tables, rows: int = 5) -> DataFrame:
+    return top_n(student_summary(clean), rows, F.col(KEY).asc(), "Full_Name")
+
+
 def clean_shapes(clean: Tables) -> DataFrame:
     return shape_report({**{name: clean[name] for name in CLEAN}, "student_summary": student_summary(clean)})
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortpulse.functions import exact_avg, exact_pct, month_label, month_start
 from cohortpulse.operators.aggregate import count_where, share_of_total
 from cohortpulse.plans.features import ATTENDANCE_RATE, student_profile, student_summary, with_features
-from cohortpulse.plans.labels import HIGH_ACHIEVER, RISK_SCORE, SCORE_BIN, SCORE_FLOOR
+from cohortpulse.plans.labels import FAILING, HIGH_ACHIEVER, SCORE_BIN, SCORE_FLOOR
 from cohortpulse.sources.schemas import KEY
 from cohortpulse.sources.tables import Tables
 
@@ -165,7 +165,7 @@ def kpi_scores(clean: Tables) -> DataFrame:
             F.min(score).alias("Min_Score"),
             F.max(score).alias("Max_Score"),
             F.count(score).alias("scores"),
-            F.count_if(score < RISK_SCORE).alias("failing"),
+            F.count_if(score < FAILING).alias("failing"),
             F.count_if(score >= HIGH_ACHIEVER).alias("High_Achievers"),
         )
         .select("Min_Score", "Max_Score", _rate("failing", "scores").alias("Failing_Rate_Pct"), "High_Achievers")

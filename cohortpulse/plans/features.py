@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortpulse.functions import ENTITY_BANDS, band, half_even
 from cohortpulse.operators.aggregate import flag
 from cohortpulse.operators.fanout import Facts, fact_profile, join_profile
-from cohortpulse.plans.labels import RISK_ATTENDANCE, RISK_MISSED, RISK_SCORE
+from cohortpulse.plans.labels import RiskRule
 from cohortpulse.sources.schemas import KEY
 from cohortpulse.sources.tables import Tables
 
@@ -33,19 +33,14 @@ def student_profile(clean: Tables) -> DataFrame:
     return fact_profile(KEY, _facts(clean))
 
 
-def at_risk_rule(
-    attendance: Column,
-    score: Column,
-    missed: Column,
-    max_attendance: float = RISK_ATTENDANCE,
-    max_score: float = RISK_SCORE,
-    min_missed: int = RISK_MISSED,
-) -> Column:
+def is_at_risk(attendance: Column, score: Column, missed: Column, rule: RiskRule = RiskRule()) -> Column:
     """All three conditions; a missing operand makes it False, never unknown."""
-    return F.coalesce((attendance < max_attendance) & (score < max_score) & (missed > min_missed), F.lit(False))
+    return F.coalesce(
+        (attendance < rule.attendance) & (score < rule.score) & (missed > rule.missed), F.lit(False)
+    )
 
 
-def with_features(profiled: DataFrame) -> DataFrame:
+def with_features(profiled: DataFrame, rule: RiskRule = RiskRule()) -> DataFrame:
     """Adds the feature columns to rows that carry the sums of :func:`student_profile`."""
     return (
         profiled.withColumns(
@@ -59,16 +54,17 @@ def with_features(profiled: DataFrame) -> DataFrame:
         )
         .withColumn("Has_Communication", F.col("Comm_Count") > 0)
         .withColumn(
-            "Is_At_Risk", at_risk_rule(F.col(ATTENDANCE_RATE), F.col("Avg_Exam_Score"), F.col("Missed_Assignments"))
+            "Is_At_Risk",
+            is_at_risk(F.col(ATTENDANCE_RATE), F.col("Avg_Exam_Score"), F.col("Missed_Assignments"), rule),
         )
         .withColumn("Score_Band", band(F.col("Avg_Exam_Score"), ENTITY_BANDS))
     )
 
 
-def student_summary(clean: Tables) -> DataFrame:
+def student_summary(clean: Tables, rule: RiskRule = RiskRule()) -> DataFrame:
     """All features of each student. Selecting some of them leaves the facts of the others unread."""
     profiled = join_profile(clean["students"], KEY, _facts(clean))
-    return with_features(profiled).select(
+    return with_features(profiled, rule).select(
         KEY,
         "Full_Name",
         "Grade_Level",
@@ -85,5 +81,5 @@ def student_summary(clean: Tables) -> DataFrame:
     )
 
 
-def at_risk(clean: Tables) -> DataFrame:
-    return student_summary(clean).filter("Is_At_Risk")
+def at_risk(clean: Tables, rule: RiskRule = RiskRule()) -> DataFrame:
+    return student_summary(clean, rule).filter("Is_At_Risk")

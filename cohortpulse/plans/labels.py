@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 # Grade names in order.
 GRADE_NUMBER = {"Grade 1": 1, "Grade 2": 2, "Grade 3": 3, "Grade 4": 4, "Grade 5": 5}
 
@@ -35,10 +37,19 @@ TO_PARENT = "Teacher to Parent"
 TO_TEACHER = "Parent to Teacher"
 AUTOMATED = "Automated Reminder"
 
-# A student is at risk below / below / above these.
-RISK_ATTENDANCE = 20
-RISK_SCORE = 60
-RISK_MISSED = 3
+
+@dataclass(frozen=True)
+class RiskRule:
+    """A student is at risk below the first two limits and above the third."""
+
+    # The limits of the school.
+    attendance: float = 20
+    score: float = 60
+    missed: int = 3
+
+
+# A record or a mean below this is failing.
+FAILING = 60
 
 # Lowest exam score and histogram bin width; a high achiever is Excellent or High.
 SCORE_FLOOR = 40

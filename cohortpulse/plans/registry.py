@@ -100,6 +100,10 @@ STORY = {
 CLEANING = {
     f"clean_{name}": _on_clean(lambda tables, name=name: tables[name])
     for name in ("students", "attendance", "homework", "performance", "communication")
+} | {
+    "clean_performance_negatives_null": lambda spark, sf_dir: clean.clean_performance(
+        derived_tables(spark, sf_dir)["performance"], negative="null"
+    )
 }
 
 FEATURES = {build.__name__: _on_clean(build) for build in (features.student_summary, features.at_risk)}
@@ -109,6 +113,8 @@ AUDIT = {
     for build in (
         audit.orphan_check,
         audit.preview_students,
+        audit.preview_communication,
+        audit.preview_summary,
         audit.clean_shapes,
         audit.status_value_counts,
         audit.completion_rate_by_subject,

@@ -28,14 +28,13 @@ from cohortpulse.operators.fanout import join_profile, multiplicity, product
 from cohortpulse.operators.rank import top_n
 from cohortpulse.plans.labels import (
     AUTOMATED,
-    RISK_ATTENDANCE,
-    RISK_MISSED,
-    RISK_SCORE,
+    FAILING,
     SQL_ABSENT,
     SQL_DONE,
     SQL_NOT_DONE,
     TO_PARENT,
     TO_TEACHER,
+    RiskRule,
 )
 from cohortpulse.sources.schemas import KEY
 from cohortpulse.sources.tables import Tables
@@ -353,7 +352,7 @@ def contacted_but_failing(raw: Tables) -> DataFrame:
     return (
         _student_averages(raw)
         .withColumnRenamed("Avg_Score", "Avg_Exam_Score")
-        .filter(F.col("Avg_Exam_Score") < RISK_SCORE)
+        .filter(F.col("Avg_Exam_Score") < FAILING)
         .join(days, KEY)
         .orderBy(F.desc("Communication_Count"), "Avg_Exam_Score", KEY)
     )
@@ -362,7 +361,7 @@ def contacted_but_failing(raw: Tables) -> DataFrame:
 # Who needs intervention now?
 
 
-def at_risk_fanout(raw: Tables) -> DataFrame:
+def at_risk_fanout(raw: Tables, rule: RiskRule = RiskRule()) -> DataFrame:
     """Students at risk as the join of all four facts reports them: ``Missed_Assignments`` is multiplied by the
     rows of the other facts. Computed from one row per student; the join itself is never built. A count beyond
     64 bits is null, its student stays in the result."""
@@ -394,9 +393,9 @@ def at_risk_fanout(raw: Tables) -> DataFrame:
             F.when(F.col("n_messages").isNull(), "No").otherwise("Yes").alias("Has_Parent_Contact"),
         )
         .filter(
-            (F.col("Attendance_Rate_Pct") < RISK_ATTENDANCE)
-            & (F.col("Avg_Exam_Score") < RISK_SCORE)
-            & (F.coalesce(F.col("Missed_Assignments") > RISK_MISSED, F.lit(True)))
+            (F.col("Attendance_Rate_Pct") < rule.attendance)
+            & (F.col("Avg_Exam_Score") < rule.score)
+            & F.coalesce(F.col("Missed_Assignments") > rule.missed, F.lit(True))
         )
         .orderBy("Avg_Exam_Score", "Attendance_Rate_Pct", KEY)
     )

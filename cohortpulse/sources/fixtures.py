@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,6 +136,12 @@ _BUILDERS = {
 }
 
 
+@lru_cache(maxsize=8)
+def _files(spark: SparkSession, sf_dir: str) -> Tables:
+    """A folder's files are listed and their schemas read once per session."""
+    return Tables(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    files = Tables(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    files = _files(spark, sf_dir)
     return Tables(lambda name: _BUILDERS[name](files))

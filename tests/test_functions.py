@@ -26,7 +26,7 @@ from cohortpulse.functions import (
     strip,
 )
 from cohortpulse.functions.text import UNICODE_SPACES
-from cohortpulse.plans.features import at_risk_rule
+from cohortpulse.plans.features import is_at_risk
 from cohortpulse.plans.labels import ATTENDANCE_LABEL, HOMEWORK_LABEL
 from tests.helpers import apply
 
@@ -75,6 +75,7 @@ def test_homework_labels_are_case_sensitive(spark):
 
 def test_bit_text(spark):
     assert apply(spark, ["Yes", "No", " ", "", None], "string", bit_text) == ["1", "0", None, None, None]
+    assert apply(spark, [True, False, None], "boolean", bit_text) == ["1", "0", None]
 
 
 def test_percent_fraction(spark):
@@ -135,7 +136,7 @@ def test_risk_rule(spark):
         (19.0, 59.0, None, False),
     ]
     df = spark.createDataFrame(given, "a double, s double, m bigint, expected boolean")
-    assert df.filter(at_risk_rule(F.col("a"), F.col("s"), F.col("m")) != F.col("expected")).count() == 0
+    assert df.filter(is_at_risk(F.col("a"), F.col("s"), F.col("m")) != F.col("expected")).count() == 0
 
 
 def _half_up(value: Fraction) -> float:

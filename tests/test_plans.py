@@ -4,7 +4,8 @@ import re
 
 import pytest
 
-from cohortpulse.plans.registry import QUERIES
+from cohortpulse.operators.median import group_median
+from cohortpulse.plans.registry import QUERIES, clean_of
 from tests.helpers import final_plan, first_plan
 
 # Queries that write files first; their plans only read them back.
@@ -89,3 +90,8 @@ def test_only_needed_columns_are_read(spark, sf_dir):
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"o_orderkey:bigint"}
     plan = first_plan(QUERIES["kpi_scores"](spark, sf_dir))
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"o_orderkey:bigint,o_totalprice:double"}
+
+
+def test_median_counts_values_once(spark, sf_dir):
+    parsed = clean_of(spark, sf_dir)["parsed_performance"]
+    assert "ReusedExchange" in final_plan(group_median(parsed, "Subject", "CompletionRate"))

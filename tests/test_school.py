@@ -5,6 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from cohortpulse.plans import audit, clean, dashboard, features, story
+from cohortpulse.plans.labels import RiskRule
 from tests.helpers import AS_OF, raw_school, rows
 
 
@@ -97,6 +98,9 @@ def test_student_summary(spark):
     assert (four.Avg_Exam_Score, four.Missed_Assignments, four.Comm_Count, four.Score_Band) == (None, 0, 0, "Unknown")
     assert not four.Has_Communication
     assert [r.Student_ID for r in features.at_risk(_clean(raw)).collect()] == ["S1"]
+    assert features.at_risk(_clean(raw), RiskRule(attendance=9)).count() == 0
+    keyed = story.with_stripped_keys(raw)
+    assert story.at_risk_fanout(keyed, RiskRule(attendance=9)).count() == 0
     assert rows(audit.orphan_check(_clean(raw))) == [
         ("attendance", 0),
         ("homework", 0),
