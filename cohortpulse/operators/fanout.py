@@ -36,8 +36,8 @@ def join_profile(entities: DataFrame, key: str, facts: Facts) -> DataFrame:
     measure becomes a column with the sum, null if the entity has none, and ``n_<fact>`` holds the fact's rows.
 
     Every fact is summed per key and left-joined on the same key, so all joins share one partitioning: a fact is
-    shuffled once, as partial sums, and not at all if it is bucketed by the key. The optimizer drops the join
-    to a fact none of whose columns is asked for, and with it the scan of that fact.
+    shuffled once, as partial sums, in which a hot key is one row per task. The optimizer drops the join to a
+    fact none of whose columns is asked for, and with it the scan of that fact.
     """
     return reduce(lambda a, rows: a.join(_sums(rows, key), key, "left"), _addends(key, facts), entities)
 

@@ -1,4 +1,4 @@
-"""CSV, Parquet and bucketed tables."""
+"""CSV and Parquet files."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpulse.sources.schemas import BRONZE, GOLD, KEY, SILVER
+from cohortpulse.sources.schemas import BRONZE, GOLD, SILVER
 from cohortpulse.sources.tables import Tables
 
 
@@ -74,11 +74,3 @@ def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ()) ->
         df.hint("rebalance", *names).write.mode("overwrite").partitionBy(*names).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
-
-
-def save_bucketed(df: DataFrame, name: str, buckets: int, key: str = KEY) -> None:
-    """A catalog table bucketed by the entity key: later groupings and joins on it need no shuffle.
-
-    One shuffle by the same hash first, so that each bucket is one file rather than one per task.
-    """
-    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)

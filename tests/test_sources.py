@@ -1,4 +1,4 @@
-"""CSV, Parquet, bucketed tables and the pipeline."""
+"""CSV, Parquet and the pipeline."""
 
 from datetime import date
 from pathlib import Path
@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortpulse.plans import features
-from cohortpulse.plans.pipeline import run, save_silver, write_silver
+from cohortpulse.plans.clean import clean_attendance
+from cohortpulse.plans.pipeline import run, write_silver
 from cohortpulse.plans.registry import clean_of
 from cohortpulse.sources.files import read_bronze_csv, read_clean_csv, write_csv, write_parquet
 from cohortpulse.sources.fixtures import derived_tables
@@ -88,16 +89,11 @@ def test_silver_parquet_keeps_columns_and_types(spark, sf_dir, tmp_path):
     assert silver["attendance"].filter(F.col("Date") < date(1900, 1, 1)).count() == 0
 
 
-def test_bucketed_tables_need_no_shuffle(spark, sf_dir):
-    tables = clean_of(spark, sf_dir)
-    spark.sql("CREATE DATABASE IF NOT EXISTS school")
-    silver = save_silver(tables, "school", 4)
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        summary = features.student_summary(silver)
-        plan = first_plan(summary)
-        assert "Exchange" not in plan and plan.count("Bucketed: true") == 5
-        assert sorted(rows(summary), key=str) == sorted(rows(features.student_summary(tables)), key=str)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.sql("DROP DATABASE school CASCADE")
+def test_cleaning_runs_on_a_stream(spark, sf_dir, tmp_path):
+    raw = derived_tables(spark, sf_dir)["attendance"]
+    raw.write.parquet(str(tmp_path / "raw"))
+    stream = clean_attendance(spark.readStream.schema(raw.schema).parquet(str(tmp_path / "raw")))
+    query = stream.writeStream.format("memory").queryName("cleaned").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(rows(spark.table("cleaned")), key=str) == sorted(rows(clean_of(spark, sf_dir)["attendance"]), key=str)
