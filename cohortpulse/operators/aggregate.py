@@ -35,6 +35,11 @@ def count_where(df: DataFrame, by: Sequence[str | Column], total: str, **conditi
     )
 
 
+def collapse_copies(df: DataFrame, *columns: str) -> DataFrame:
+    """Each combination of ``columns`` once, with the number of its rows in ``copies``."""
+    return df.groupBy(*columns).agg(F.count("*").alias("copies"))
+
+
 def sums_by_attribute(
     fact: DataFrame,
     entities: DataFrame,
@@ -44,13 +49,12 @@ def sums_by_attribute(
 ) -> DataFrame:
     """Sums of numeric ``measures`` of a fact by columns of its entity (inner join on ``key``).
 
-    The fact is summed per key before the join: its raw rows are never shuffled, one hot key is one row
-    after the map-side sums, and the join sees at most one fact row per entity.
+    The fact is summed per key and equal entity rows are collapsed before the join: raw rows are never shuffled,
+    a hot key is one row per task on either side, and the join sees one fact row per key.
     """
-    names = list(measures)
     per_key = fact.groupBy(key).agg(*(F.sum(m).alias(n) for n, m in measures.items()))
-    joined = per_key.join(entities.select(key, *by), key)
-    return joined.groupBy(*by).agg(*(F.sum(n).alias(n) for n in names))
+    joined = per_key.join(collapse_copies(entities, key, *by), key)
+    return joined.groupBy(*by).agg(*(F.sum(F.col(n) * F.col("copies")).alias(n) for n in measures))
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:

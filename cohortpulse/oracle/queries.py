@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from cohortpulse.oracle.views import AS_OF, avg2, even, pct, with_views
 
 DONE = "upper(trim(Status)) IN ('DONE', '✔', '✅')"
@@ -81,8 +83,8 @@ STORY = {
     "score_by_grade": f"""
         SELECT s.Grade_Level, {avg2("sum(p.Exam_Score)", "count(p.Exam_Score)")} AS Avg_Score, count(*) AS Records
         FROM key_performance p JOIN key_students s ON p.Student_ID = s.Student_ID GROUP BY s.Grade_Level""",
-    "top10_students": _ranked("DESC"),
-    "bottom10_students": _ranked("ASC"),
+    "top10_students": _ranked("DESC NULLS LAST"),
+    "bottom10_students": _ranked("ASC NULLS FIRST"),
     "message_type_split": _share("key_communication", "Message_Type", "Message_Type"),
     "monthly_message_volume": f"""
         SELECT strftime(Date::DATE, '%Y-%m') AS Month, count(*) AS Total_Messages,
@@ -200,13 +202,13 @@ def _raw_name(table: str) -> str:
 
 AUDIT = {
     "orphan_check": _stack(
-        f"""SELECT '{t}' AS "table", count(DISTINCT f.Student_ID) AS orphans FROM {t} f
+        f"""SELECT '{t}' AS "table", count(DISTINCT coalesce(f.Student_ID, '')) AS orphans FROM {t} f
             WHERE NOT EXISTS (SELECT 1 FROM students s WHERE s.Student_ID = f.Student_ID)"""
         for t in FACTS
     ),
-    "preview_communication": "SELECT * FROM communication ORDER BY Student_ID, Date, Message_Type LIMIT 5",
-    "preview_summary": "SELECT * FROM student_summary ORDER BY Student_ID, Full_Name LIMIT 5",
-    "preview_students": "SELECT * FROM students ORDER BY Student_ID, Full_Name LIMIT 5",
+    "preview_communication": "SELECT Student_ID, Date, Message_Type, Month FROM communication ORDER BY ALL NULLS FIRST LIMIT 5",
+    "preview_summary": "SELECT * FROM student_summary ORDER BY Student_ID NULLS FIRST, Full_Name NULLS FIRST LIMIT 5",
+    "preview_students": "SELECT * FROM students ORDER BY Student_ID NULLS FIRST, Full_Name NULLS FIRST LIMIT 5",
     "raw_shapes": _stack(
         f"""SELECT '{_raw_name(t)}' AS "table", count(*) AS "rows", {width}::BIGINT AS "columns" FROM raw_{t}"""
         for t, width in RAW_COLUMNS.items()
@@ -314,15 +316,16 @@ DASHBOARD = {
         FROM parsed_performance p JOIN students s ON p.Student_ID = s.Student_ID GROUP BY p.Subject, s.Grade_Level""",
     "score_histogram": """
         SELECT (40 + (Exam_Score - 40) // 10 * 10)::INT AS Bin_Start, count(*) AS Records
-        FROM parsed_performance GROUP BY 1""",
+        FROM parsed_performance WHERE Exam_Score IS NOT NULL GROUP BY 1""",
     "kpi_contact": """
         SELECT (SELECT count(*) FROM communication) AS Total_Messages,
                (SELECT count(*) FROM students) AS Total_Students,
-               (SELECT count(*) FROM students
-                WHERE Student_ID NOT IN (SELECT Student_ID FROM communication)) AS Silent_Students""",
+               (SELECT count(*) FROM students s
+                WHERE NOT EXISTS (SELECT 1 FROM communication c WHERE c.Student_ID = s.Student_ID))
+                 AS Silent_Students""",
     "silent_by_grade": """
-        SELECT Grade_Level, count(*) AS Silent_Students FROM students
-        WHERE Student_ID NOT IN (SELECT Student_ID FROM communication) GROUP BY Grade_Level""",
+        SELECT Grade_Level, count(*) AS Silent_Students FROM students s
+        WHERE NOT EXISTS (SELECT 1 FROM communication c WHERE c.Student_ID = s.Student_ID) GROUP BY Grade_Level""",
     "message_volume_trend": """
         SELECT Month, Message_Type, count(*) AS Messages FROM communication GROUP BY Month, Message_Type""",
     "at_risk_cohort_kpi": f"""
@@ -354,6 +357,7 @@ SOURCES = {
 }
 
 
-def oracle_queries() -> dict[str, str]:
+def oracle_queries(existing: Collection[str] = ()) -> dict[str, str]:
+    """SQL by query name; views named in ``existing`` are not defined but expected as tables."""
     parts = STORY | CLEANING | FEATURES | AUDIT | DASHBOARD | SOURCES
-    return {name: with_views(sql) for name, sql in parts.items()}
+    return {name: with_views(sql, existing) for name, sql in parts.items()}

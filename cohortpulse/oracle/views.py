@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 AS_OF = "DATE '2025-03-31'"
 
@@ -153,13 +154,16 @@ VIEWS = {
 _NAMES = re.compile(r"(?<![\w'])(" + "|".join(sorted(VIEWS, key=len, reverse=True)) + r")(?![\w'])")
 
 
-def with_views(query: str) -> str:
-    """The query behind a WITH clause of the views it uses, in an order that defines each before its use."""
+def with_views(query: str, existing: Collection[str] = ()) -> str:
+    """The query behind a WITH clause of the views it uses, in an order that defines each before its use.
+
+    Views named in ``existing`` are taken to be tables of the database.
+    """
     order: list[str] = []
 
     def need(sql: str) -> None:
         for name in sorted(set(_NAMES.findall(sql))):
-            if name not in order:
+            if name not in order and name not in existing:
                 need(VIEWS[name])
                 order.append(name)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortpulse.functions import exact_avg, exact_pct, month_label, month_start
-from cohortpulse.operators.aggregate import count_where, share_of_total
+from cohortpulse.operators.aggregate import collapse_copies, count_where, share_of_total
 from cohortpulse.plans.features import ATTENDANCE_RATE, student_profile, student_summary, with_features
 from cohortpulse.plans.labels import FAILING, HIGH_ACHIEVER, SCORE_BIN, SCORE_FLOOR
 from cohortpulse.sources.schemas import KEY
@@ -29,7 +29,7 @@ def _mean_of_rounded(column: str):
 
 
 def _copies_per_student(clean: Tables) -> DataFrame:
-    return clean["students"].groupBy(KEY).agg(F.count("*").alias("copies"))
+    return collapse_copies(clean["students"], KEY)
 
 
 # Executive summary
@@ -181,9 +181,11 @@ def score_by_subject_grade(clean: Tables) -> DataFrame:
         .agg(F.sum(score).alias("total"), F.count(score).alias("scores"))
     )
     return (
-        per_student.join(clean["students"].select(KEY, "Grade_Level"), KEY)
+        per_student.join(collapse_copies(clean["students"], KEY, "Grade_Level"), KEY)
         .groupBy("Subject", "Grade_Level")
-        .agg(exact_avg(F.sum("total"), F.sum("scores")).alias("Avg_Score"))
+        .agg(
+            exact_avg(F.sum(F.expr("total * copies")), F.sum(F.expr("scores * copies"))).alias("Avg_Score")
+        )
         .orderBy("Subject", "Grade_Level")
     )
 
@@ -217,8 +219,8 @@ def kpi_contact(clean: Tables) -> DataFrame:
 def silent_by_grade(clean: Tables) -> DataFrame:
     """A student is silent without messages: an anti join on distinct ids, nothing is counted per message."""
     heard = clean["communication"].select(KEY).distinct()
-    silent = clean["students"].select(KEY, "Grade_Level").join(heard, KEY, "left_anti")
-    return silent.groupBy("Grade_Level").agg(F.count("*").alias("Silent_Students")).orderBy("Grade_Level")
+    silent = collapse_copies(clean["students"], KEY, "Grade_Level").join(heard, KEY, "left_anti")
+    return silent.groupBy("Grade_Level").agg(F.sum("copies").alias("Silent_Students")).orderBy("Grade_Level")
 
 
 def message_volume_trend(clean: Tables) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,24 +22,99 @@ AS_OF = date(2025, 3, 31)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def clean_of(spark: SparkSession, sf_dir: str) -> Tables:
-    return clean.clean_tables(derived_tables(spark, sf_dir), AS_OF)
-
+def _named(*plans: Callable[..., DataFrame]) -> dict[str, Callable[..., DataFrame]]:
+    return {plan.__name__: plan for plan in plans}
+
+
+# Over raw tables with stripped keys.
+STORY = _named(
+    story.grade_distribution,
+    story.attendance_status_landscape,
+    story.attendance_rate_by_grade,
+    story.attendance_by_subject,
+    story.late_rate_by_subject,
+    story.monthly_attendance_trend,
+    story.homework_status_landscape,
+    story.homework_completion_by_subject,
+    story.completion_by_signature,
+    story.feedback_distribution,
+    story.pending_rate_by_grade,
+    story.score_band_distribution,
+    story.score_by_subject,
+    story.score_by_grade,
+    story.top10_students,
+    story.bottom10_students,
+    story.message_type_split,
+    story.monthly_message_volume,
+    story.contact_vs_score,
+    story.contact_coverage_by_grade,
+    story.top5_contacted,
+    story.contacted_but_failing,
+    story.at_risk_fanout,
+) | {"age_spread_iso": lambda raw: story.age_spread_iso(raw, AS_OF)}
+
+# Over clean tables.
+CLEANING = {f"clean_{name}": lambda tables, name=name: tables[name] for name in audit.CLEAN}
+FEATURES = _named(features.student_summary, features.at_risk)
+AUDIT = _named(
+    audit.orphan_check,
+    audit.preview_students,
+    audit.preview_communication,
+    audit.preview_summary,
+    audit.clean_shapes,
+    audit.status_value_counts,
+    audit.completion_rate_by_subject,
+)
+DASHBOARD = _named(
+    dashboard.kpi_executive,
+    dashboard.student_score_bands,
+    dashboard.at_risk_by_grade,
+    dashboard.monthly_attendance,
+    dashboard.kpi_attendance,
+    dashboard.absence_tardiness_by_subject,
+    dashboard.status_by_subject,
+    dashboard.avg_attendance_rate_by_grade,
+    dashboard.kpi_homework,
+    dashboard.completion_donut,
+    dashboard.completion_rate_by_subject_clean,
+    dashboard.kpi_scores,
+    dashboard.score_by_subject_grade,
+    dashboard.score_histogram,
+    dashboard.kpi_contact,
+    dashboard.silent_by_grade,
+    dashboard.message_volume_trend,
+    dashboard.at_risk_cohort_kpi,
+    dashboard.risk_scatter,
+    dashboard.at_risk_table,
+)
+
+# Over raw and clean tables.
+BOTH = _named(audit.quality_report, audit.unmapped_counts)
+
+# Over raw tables as they come.
+RAW = {
+    "raw_shapes": audit.raw_shapes,
+    "clean_performance_negatives_null": lambda raw: clean.clean_performance(raw["performance"], negative="null"),
+}
 
-def _on_raw(build: Callable[[Tables], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(story.with_stripped_keys(derived_tables(spark, sf_dir)))
 
+def queries_over(raw: Tables) -> dict[str, Callable[[], DataFrame]]:
+    """Every query that writes no files, ready to be called, over any raw tables."""
+    keyed, tables = story.with_stripped_keys(raw), clean.clean_tables(raw, AS_OF)
+    return (
+        {name: partial(plan, keyed) for name, plan in STORY.items()}
+        | {name: partial(plan, tables) for name, plan in (CLEANING | FEATURES | AUDIT | DASHBOARD).items()}
+        | {name: partial(plan, raw, tables) for name, plan in BOTH.items()}
+        | {name: partial(plan, raw) for name, plan in RAW.items()}
+    )
 
-def _on_clean(build: Callable[[Tables], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(clean_of(spark, sf_dir))
 
+def _over_files(name: str) -> Query:
+    return lambda spark, sf_dir: queries_over(derived_tables(spark, sf_dir))[name]()
 
-def _on_both(build: Callable[[Tables, Tables], DataFrame]) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        raw = derived_tables(spark, sf_dir)
-        return build(raw, clean.clean_tables(raw, AS_OF))
 
-    return run
+def clean_of(spark: SparkSession, sf_dir: str) -> Tables:
+    return clean.clean_tables(derived_tables(spark, sf_dir), AS_OF)
 
 
 def csv_scan_homework(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,89 +144,6 @@ def export_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contents_report({name: read_clean_csv(spark, f"{root}/{name}.csv", name) for name in EXPORTED})
 
 
-STORY = {
-    build.__name__: _on_raw(build)
-    for build in (
-        story.grade_distribution,
-        story.attendance_status_landscape,
-        story.attendance_rate_by_grade,
-        story.attendance_by_subject,
-        story.late_rate_by_subject,
-        story.monthly_attendance_trend,
-        story.homework_status_landscape,
-        story.homework_completion_by_subject,
-        story.completion_by_signature,
-        story.feedback_distribution,
-        story.pending_rate_by_grade,
-        story.score_band_distribution,
-        story.score_by_subject,
-        story.score_by_grade,
-        story.top10_students,
-        story.bottom10_students,
-        story.message_type_split,
-        story.monthly_message_volume,
-        story.contact_vs_score,
-        story.contact_coverage_by_grade,
-        story.top5_contacted,
-        story.contacted_but_failing,
-        story.at_risk_fanout,
-    )
-} | {"age_spread_iso": _on_raw(lambda raw: story.age_spread_iso(raw, AS_OF))}
-
-CLEANING = {
-    f"clean_{name}": _on_clean(lambda tables, name=name: tables[name])
-    for name in ("students", "attendance", "homework", "performance", "communication")
-} | {
-    "clean_performance_negatives_null": lambda spark, sf_dir: clean.clean_performance(
-        derived_tables(spark, sf_dir)["performance"], negative="null"
-    )
-}
-
-FEATURES = {build.__name__: _on_clean(build) for build in (features.student_summary, features.at_risk)}
-
-AUDIT = {
-    build.__name__: _on_clean(build)
-    for build in (
-        audit.orphan_check,
-        audit.preview_students,
-        audit.preview_communication,
-        audit.preview_summary,
-        audit.clean_shapes,
-        audit.status_value_counts,
-        audit.completion_rate_by_subject,
-    )
-} | {
-    "raw_shapes": lambda spark, sf_dir: audit.raw_shapes(derived_tables(spark, sf_dir)),
-    "quality_report": _on_both(audit.quality_report),
-    "unmapped_counts": _on_both(audit.unmapped_counts),
-}
-
-DASHBOARD = {
-    build.__name__: _on_clean(build)
-    for build in (
-        dashboard.kpi_executive,
-        dashboard.student_score_bands,
-        dashboard.at_risk_by_grade,
-        dashboard.monthly_attendance,
-        dashboard.kpi_attendance,
-        dashboard.absence_tardiness_by_subject,
-        dashboard.status_by_subject,
-        dashboard.avg_attendance_rate_by_grade,
-        dashboard.kpi_homework,
-        dashboard.completion_donut,
-        dashboard.completion_rate_by_subject_clean,
-        dashboard.kpi_scores,
-        dashboard.score_by_subject_grade,
-        dashboard.score_histogram,
-        dashboard.kpi_contact,
-        dashboard.silent_by_grade,
-        dashboard.message_volume_trend,
-        dashboard.at_risk_cohort_kpi,
-        dashboard.risk_scatter,
-        dashboard.at_risk_table,
-    )
-}
-
-SOURCES = {build.__name__: build for build in (csv_scan_homework, table_scan, export_clean)}
-
-QUERIES: dict[str, Query] = STORY | CLEANING | FEATURES | AUDIT | DASHBOARD | SOURCES
+QUERIES: dict[str, Query] = {
+    name: _over_files(name) for name in (*STORY, *CLEANING, *FEATURES, *AUDIT, *DASHBOARD, *BOTH, *RAW)
+} | _named(csv_scan_homework, table_scan, export_clean)

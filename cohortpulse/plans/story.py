@@ -23,7 +23,14 @@ from cohortpulse.functions import (
     sql_upper_trim,
     strip,
 )
-from cohortpulse.operators.aggregate import count_where, flag, one, share_of_total, sums_by_attribute
+from cohortpulse.operators.aggregate import (
+    collapse_copies,
+    count_where,
+    flag,
+    one,
+    share_of_total,
+    sums_by_attribute,
+)
 from cohortpulse.operators.fanout import join_profile, multiplicity, product
 from cohortpulse.operators.rank import top_n
 from cohortpulse.plans.labels import (
@@ -239,13 +246,9 @@ def score_by_grade(raw: Tables) -> DataFrame:
 def _student_averages(raw: Tables) -> DataFrame:
     """Mean exam score per student with an exam; equal student rows count once."""
     sums = raw["performance"].groupBy(KEY).agg(*(F.sum(m).alias(n) for n, m in _score_measures().items()))
-    return (
-        raw["students"]
-        .select(*STUDENT)
-        .join(sums, KEY)
-        .groupBy(*STUDENT)
-        .agg(exact_avg(F.max("score_sum"), F.max("scores")).alias("Avg_Score"))
-    )
+    students = collapse_copies(raw["students"], *STUDENT).drop("copies")
+    average = exact_avg(F.col("score_sum"), F.col("scores")).alias("Avg_Score")
+    return students.join(sums, KEY).select(*STUDENT, average)
 
 
 def top10_students(raw: Tables) -> DataFrame:
@@ -282,9 +285,9 @@ def monthly_message_volume(raw: Tables) -> DataFrame:
     ).orderBy("Month")
 
 
-def _contact_profile(raw: Tables) -> DataFrame:
+def _contact_profile(raw: Tables, *columns: str) -> DataFrame:
     return join_profile(
-        raw["students"].select(*STUDENT),
+        collapse_copies(raw["students"], *columns),
         KEY,
         {"performance": (raw["performance"], _score_measures()), "messages": (raw[COMMUNICATION], {})},
     )
@@ -293,9 +296,9 @@ def _contact_profile(raw: Tables) -> DataFrame:
 def contact_vs_score(raw: Tables) -> DataFrame:
     """Mean exam score of students with and without messages, each exam counted once per message, as the join
     of exams and messages would."""
-    weight = multiplicity(F.col("n_messages")).cast("decimal(19,0)")
+    weight = (F.col("copies") * multiplicity(F.col("n_messages"))).cast("decimal(19,0)")
     return (
-        _contact_profile(raw)
+        _contact_profile(raw, KEY)
         .select(
             F.when(F.col("n_messages").isNull(), "No Communication")
             .otherwise("Has Communication")
@@ -306,20 +309,20 @@ def contact_vs_score(raw: Tables) -> DataFrame:
         )
         .groupBy("Communication_Status")
         .agg(
-            F.count_distinct(KEY).alias("Student_Count"),
+            F.count(KEY).alias("Student_Count"),
             exact_avg(F.sum("weighted_sum"), F.sum("weighted_scores")).alias("Avg_Exam_Score"),
         )
     )
 
 
 def contact_coverage_by_grade(raw: Tables) -> DataFrame:
-    """Ids are made distinct on both sides before they are counted, which needs no row expansion."""
+    """Ids are made distinct on both sides before they are joined and counted: no row expansion, no hot key."""
     contacted = raw[COMMUNICATION].select(KEY).distinct().withColumn("contacted", F.lit(True))
     counted = (
         raw["students"]
         .select(KEY, "Grade_Level")
-        .join(contacted, KEY, "left")
         .distinct()
+        .join(contacted, KEY, "left")
         .groupBy("Grade_Level")
         .agg(
             F.count(KEY).alias("Total_Students"),
@@ -336,12 +339,15 @@ def contact_coverage_by_grade(raw: Tables) -> DataFrame:
 
 def top5_contacted(raw: Tables) -> DataFrame:
     """``Message_Count`` counts the rows of messages joined with exams, so it exceeds the messages."""
-    rows = product(F.count("*"), F.max("n_messages"), multiplicity(F.max("n_performance")))
+    rows = product(F.col("copies"), F.col("n_messages"), multiplicity(F.col("n_performance")))
     counted = (
-        _contact_profile(raw)
+        _contact_profile(raw, *STUDENT)
         .filter("n_messages > 0")
-        .groupBy(*STUDENT)
-        .agg(rows.alias("Message_Count"), exact_avg(F.max("score_sum"), F.max("scores")).alias("Avg_Exam_Score"))
+        .select(
+            *STUDENT,
+            rows.alias("Message_Count"),
+            exact_avg(F.col("score_sum"), F.col("scores")).alias("Avg_Exam_Score"),
+        )
     )
     return top_n(counted, 5, F.desc("Message_Count"), KEY)
 
@@ -365,8 +371,8 @@ def at_risk_fanout(raw: Tables, rule: RiskRule = RiskRule()) -> DataFrame:
     """Students at risk as the join of all four facts reports them: ``Missed_Assignments`` is multiplied by the
     rows of the other facts. Computed from one row per student; the join itself is never built. A count beyond
     64 bits is null, its student stays in the result."""
-    profiled = join_profile(
-        raw["students"].select(*STUDENT),
+    per_student = join_profile(
+        collapse_copies(raw["students"], *STUDENT),
         KEY,
         {
             "attendance": (raw["attendance"], {"present": flag(_attendance() == "PRESENT")}),
@@ -375,9 +381,6 @@ def at_risk_fanout(raw: Tables, rule: RiskRule = RiskRule()) -> DataFrame:
             "messages": (raw[COMMUNICATION], {}),
         },
     )
-    per_student = profiled.groupBy(*STUDENT).agg(
-        F.count("*").alias("copies"), *(F.max(c).alias(c) for c in profiled.columns if c not in STUDENT)
-    )
     missed = F.coalesce("missed", F.lit(0).cast("bigint"))
     inflated = product(
         missed,

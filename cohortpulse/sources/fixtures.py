@@ -139,11 +139,7 @@ _BUILDERS = {
 
 
 @lru_cache(maxsize=8)
-def _files(spark: SparkSession, sf_dir: str) -> Tables:
-    """A folder's files are listed and their schemas read once per session."""
-    return Tables(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    files = _files(spark, sf_dir)
+    """The raw tables of a folder, defined once per session: its files are listed and their schemas read once."""
+    files = Tables(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     return Tables(lambda name: _BUILDERS[name](files))
