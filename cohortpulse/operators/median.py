@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from cohortpulse.sources.scratch import written
 
 
+# Steps on each side of zero.
+BUCKETS = 100_000
+
+
 def group_median(df: DataFrame, group: str, value: str, step: float = 0.001) -> DataFrame:
     """(group, median) over the non-null values, the mean of the middle two where their number is even.
 
     A hash map of a whole group in one task is avoided. Equal values are counted first (shuffled by group and
     value, so a hot group spreads), counts are added up per ``step`` of the value range, and only the one or
     two steps that hold the middle ranks are put in order value by value. ``step`` changes cost, not results.
+    Values far from zero share the first or the last step, so the steps of a group are a bounded number.
     """
     counts = (
         df.select(F.col(group).alias("g"), F.col(value).alias("v"))
         .filter("g IS NOT NULL AND v IS NOT NULL")
         .groupBy("g", "v")
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(F.col("v") / step))
+        .withColumn("bucket", F.greatest(F.lit(-BUCKETS), F.least(F.lit(BUCKETS), F.floor(F.col("v") / step))))
     )
     by_group = Window.partitionBy("g")
     up_to_here = by_group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -145,7 +145,8 @@ def _half_up(value: Fraction) -> float:
 
 def test_exact_percent_is_rational_half_up(spark):
     pairs = [(n, d) for d in range(1, 121) for n in range(d + 1)] + [(201, 20000), (10**14, 3 * 10**14)]
-    df = spark.createDataFrame([(n, d, _half_up(Fraction(100 * n, d))) for n, d in pairs], "n bigint, d bigint, e double")
+    rows = [(n, d, _half_up(Fraction(100 * n, d))) for n, d in pairs]
+    df = spark.createDataFrame(rows, "n bigint, d bigint, e double")
     assert df.filter(exact_pct(F.col("n"), F.col("d")) != F.col("e")).count() == 0
     assert df.select(exact_pct(F.lit(0), F.lit(0)).alias("x")).first().x is None
 

@@ -61,9 +61,12 @@ def _naive_median(pairs):
 @pytest.mark.parametrize("seed", range(3))
 def test_group_median_equals_statistics(spark, seed):
     rng = random.Random(seed)
-    pairs = [(rng.choice(["p", "q", None]), rng.choice([None, rng.random(), rng.randint(0, 9) / 10])) for _ in range(500)]
+    pairs = [
+        (rng.choice(["p", "q", None]), rng.choice([None, rng.random(), rng.randint(0, 9) / 10])) for _ in range(500)
+    ]
     pairs += [("hot", 0.5)] * 2000 + [("hot", rng.uniform(-3, 1e6)) for _ in range(1999)]
     pairs += [("two", 1.0), ("two", 2.0), ("one", -7.25), ("none", None)]
+    pairs += [("far", v) for v in (1e300, -1e300, 250.0, 5.0, 1e18)]
     df = spark.createDataFrame(pairs, "g string, v double")
     assert dict(rows(group_median(df, "g", "v"))) == _naive_median(pairs)
 
