@@ -1,38 +1,27 @@
-"""Shared scratch folder for small intermediate tables."""
+"""Shared folder for tables that a query writes on the way."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="cohortpulse-")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the folder the cluster names in ``spark.checkpoint.dir``.
+    """A new path below the folder the cluster names in ``spark.checkpoint.dir``, else below its warehouse.
 
-    Where that is unset, a local master gets a temporary folder; any other master is refused, since its
-    executors could not see one.
+    Both are shared by all executors, and the choice does not depend on the master.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _local_root()
-    return f"{root}/cohortpulse/{label}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/cohortpulse/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """``df`` written once and read back: computed once, survives lost executors, and of known size.
 
     The planner then broadcasts it exactly if its files are below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
