@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import exact_dedup, mixing
+from cohortpulse.llm import exact_dedup, language_id, mixing
 
 LLM_QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_language_id": language_id.op7_language_id,
 }
 
 LLM_ORACLE = {
