@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import exact_dedup, language_id, mixing
+from cohortpulse.llm import exact_dedup, language_id, mixing, toxicity
 
 LLM_QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_language_id": language_id.op7_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 LLM_ORACLE = {
