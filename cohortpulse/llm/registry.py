@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import exact_dedup, language_id, licenses, mixing, neighbours, toxicity
+from cohortpulse.llm import exact_dedup, language_id, licenses, mixing, neighbours, packing, toxicity
 
 LLM_QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_nearest": neighbours.op5_nearest,
+    "op6_packing": packing.op6_packing,
     "op7_language_id": language_id.op7_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
 }
