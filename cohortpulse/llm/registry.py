@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import exact_dedup, language_id, licenses, mixing, neighbours, packing, toxicity
+from cohortpulse.llm import exact_dedup, language_id, licenses, mixing, near_dedup, neighbours, packing, toxicity
 
 LLM_QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -11,6 +11,7 @@ LLM_QUERIES = {
     "op5_nearest": neighbours.op5_nearest,
     "op6_packing": packing.op6_packing,
     "op7_language_id": language_id.op7_language_id,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
