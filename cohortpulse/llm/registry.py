@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import exact_dedup, language_id, licenses, mixing, near_dedup, neighbours, packing, toxicity
+from cohortpulse.llm import exact_dedup, language_id, licenses, mixing, near_dedup, neighbours, packing, substring_dedup, toxicity
 
 LLM_QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_nearest": neighbours.op5_nearest,
