@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import exact_dedup, language_id, licenses, mixing, near_dedup, neighbours, packing, substring_dedup, toxicity
+from cohortpulse.llm import exact_dedup, language_id, licenses, mixing, near_dedup, neighbours, packing, substring_dedup, suffix_dedup, toxicity
 
 LLM_QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -13,6 +13,7 @@ LLM_QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_language_id": language_id.op7_language_id,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
