@@ -1,7 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 A source's rate is its target divided by its size. Each of its documents is taken ``floor(rate)`` times and once more
-with a probability of the fraction, decided by a hash of its ``doc_id``, so that reruns agree and no state is kept.
+with a probability of the fraction, decided by a seeded hash of its ``doc_id``, so that reruns agree and no state is kept.
+Of ``SEEDS`` seeds a source uses the one whose draw comes nearest to its target, which matters for sources of few or very
+unequal documents.
 
 Cases: a null or empty text has size 0 and is copied like any other; a null source is a source; a null ``doc_id`` is
 hashed as an empty text; repeated rows are decided alike; an empty table gives an empty result; columns of other names
@@ -19,6 +21,9 @@ from cohortpulse.sources.scratch import written
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SEED = "mix-1"
+SEEDS = 16
+#: Hexadecimal digits of a hash that make a chance: 52 bits.
+_DIGITS = 13
 _EXACT = "decimal(38,0)"
 
 
@@ -59,40 +64,60 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def chance(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id and the seed only."""
-    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"|{seed}"))
-    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def chance(doc_id: Column, seed: Column) -> Column:
+    """A number in [0, 1) that depends on the id and the seed (0 to ``SEEDS - 1``) only: digits of one hash."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"|{SEED}"))
+    digits = F.substr(F.md5(key), seed + 1, F.lit(_DIGITS))
+    return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 4 * _DIGITS))
 
 
-def copies(doc_id: Column, rate: Column, seed: str = SEED) -> Column:
+def copies(doc_id: Column, rate: Column, seed: Column) -> Column:
     whole = F.floor(rate)
     return whole + F.when(chance(doc_id, seed) < rate - whole, 1).otherwise(0)
 
 
-def _rates(sizes: DataFrame) -> DataFrame:
-    """Written, so that the planner knows its size: it is broadcast only below the session's threshold."""
-    return written(targets(sizes.groupBy("source").agg(F.sum("size").alias("size"))), "mix-targets")
+def _measured(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+
+
+def _rated(measured: DataFrame, rates: DataFrame) -> DataFrame:
+    return measured.join(rates.withColumnRenamed("source", "rated"), F.col("source").eqNullSafe(F.col("rated")))
+
+
+def rates(measured: DataFrame) -> DataFrame:
+    """``source, source_size, target, rate, seed`` of ``doc_id, source, size``.
+
+    Written, so that the planner knows their size: they are broadcast only below the session's threshold.
+    """
+    found = written(targets(measured.groupBy("source").agg(F.sum("size").alias("size"))), "mix-targets")
+    draws = [
+        F.sum(F.col("size") * copies(F.col("doc_id"), F.col("rate"), F.lit(k))).alias(f"draw_{k}") for k in range(SEEDS)
+    ]
+    drawn = _rated(measured, found).groupBy("source").agg(F.max("target").alias("wanted"), *draws)
+    misses = [F.struct(F.abs(F.col(f"draw_{k}") - F.col("wanted")).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS)]
+    seeds = drawn.select("source", F.array_min(F.array(*misses))["seed"].alias("seed"))
+    seeds = seeds.withColumnRenamed("source", "drawn")
+    joined = found.join(seeds, F.col("source").eqNullSafe(F.col("drawn"))).drop("drawn")
+    return written(joined, "mix-rates")
 
 
 def plan(docs: DataFrame) -> DataFrame:
     """What the mix takes of each document: ``doc_id, size, source_size, target, copies, taken``."""
-    measured = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    rates = _rates(measured).withColumnRenamed("source", "rated")
+    measured = _measured(docs)
     return (
-        measured.join(rates, F.col("source").eqNullSafe(F.col("rated")))
-        .withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
+        _rated(measured, rates(measured))
+        .withColumn("copies", copies(F.col("doc_id"), F.col("rate"), F.col("seed")))
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as it is taken, with its columns."""
-    rates = _rates(docs.select("source", word_count(F.col("text")).alias("size")))
-    rated, rate, copy = (fresh(docs, name) for name in ("mix_source", "mix_rate", "mix_copy"))
-    rates = rates.select(F.col("source").alias(rated), F.col("rate").alias(rate))
-    taken = docs.join(rates, docs["source"].eqNullSafe(F.col(rated)))
-    times = copies(docs["doc_id"], F.col(rate)).cast("int")
+    rated, rate, seed, copy = (fresh(docs, name) for name in ("mix_source", "mix_rate", "mix_seed", "mix_copy"))
+    found = rates(_measured(docs))
+    found = found.select(F.col("source").alias(rated), F.col("rate").alias(rate), F.col("seed").alias(seed))
+    taken = docs.join(found, docs["source"].eqNullSafe(F.col(rated)))
+    times = copies(docs["doc_id"], F.col(rate), F.col(seed)).cast("int")
     return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(0), times))).select(*[docs[c] for c in docs.columns])
 
 
@@ -123,11 +148,19 @@ WITH d AS (
   FROM e
 ), r AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t
-), n AS (
-  SELECT doc_id, size, source_size, target, (floor(rate) + CASE WHEN
-    ('0x' || left(md5(coalesce(doc_id::VARCHAR, '') || '|mix-1'), 13))::BIGINT / 4503599627370496.0::DOUBLE
-    < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
+), h AS (
+  SELECT doc_id, d.source, size, source_size, target, rate,
+    md5(coalesce(doc_id::VARCHAR, '') || '|mix-1') AS digits
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), k AS (
+  SELECT h.*, seed, (floor(rate) + CASE WHEN
+    ('0x' || substr(digits, seed + 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END
+  )::BIGINT AS copies
+  FROM h, (SELECT unnest(range(16))::INT AS seed)
+), m AS (
+  SELECT source, seed, row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies) - max(target)), seed) AS best
+  FROM k GROUP BY source, seed
 )
-SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM n
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken
+FROM k JOIN m ON k.source IS NOT DISTINCT FROM m.source AND k.seed = m.seed AND best = 1
 """

@@ -56,15 +56,15 @@ def _probes(shards: int):
         for lot, _, _, _, texts in by_lot(batches, PIECE):
             words, counts, *_ = word_hashes(texts, lower=False)
             h, first = runs(words, counts, BLOCK)
+            if not len(h):
+                continue
             offset = first - (np.cumsum(counts) - counts)[np.searchsorted(np.cumsum(counts), first, side="right")]
             shard = _shard_of(h, shards)
             value = (_low(h) << U64(2)) | (offset % BLOCK == 0).astype(U64)
             order = np.lexsort((value, shard))
             shard, value = shard[order], value[order]
-            same = np.r_[(value[1:] >> U64(2) == value[:-1] >> U64(2)) & (shard[1:] == shard[:-1]), False]
-            starts = np.flatnonzero(~np.r_[False, same[:-1]]) if len(same) else np.zeros(0, np.int64)
-            if not len(starts):
-                continue
+            key = value >> U64(2)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])
             flags = np.bitwise_or.reduceat(value & U64(1), starts)
             many = (np.diff(np.r_[starts, len(value)]) > 1).astype(U64) << U64(1)
             entry = (value[starts] & ~U64(3)) | flags | many
