@@ -3,7 +3,7 @@
 from cohortpulse.functions.bands import ENTITY_BANDS, RECORD_BANDS, band
 from cohortpulse.functions.dates import age_by_days, age_by_year, month_label, month_start, parse_mixed_date
 from cohortpulse.functions.rounding import exact_avg, exact_pct, half_even
-from cohortpulse.functions.text import bit_text, lookup, percent_fraction, same_text, sql_upper_trim, strip
+from cohortpulse.functions.text import bit_text, lookup, percent_fraction, same_text, sql_upper_trim, strip, whole_number
 
 __all__ = [
     "ENTITY_BANDS",
@@ -23,4 +23,5 @@ __all__ = [
     "same_text",
     "sql_upper_trim",
     "strip",
+    "whole_number",
 ]

@@ -7,10 +7,19 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# English month names by their first three letters.
+MONTHS = {
+    "jan": "01", "feb": "02", "mar": "03", "apr": "04", "may": "05", "jun": "06",
+    "jul": "07", "aug": "08", "sep": "09", "oct": "10", "nov": "11", "dec": "12",
+}
+
 
 def parse_mixed_date(c: Column) -> Column:
     """Year-month-day, month-day-year or, failing that, day-month-year; null for anything else.
 
+    Parts may be separated by '-', '/' or '.', or be one number of eight digits (year first); a month may be an English
+    name or its first three letters ('March 4, 2015', '4 Mar 2015').
+
     Parts are reordered and cast rather than parsed with three patterns: a pattern that does not match
     raises and catches an exception per row inside Spark, a failed ``try_cast`` does not. Text with two-digit
     months and days is cut by position; only what is left after that is split.
@@ -26,7 +35,26 @@ def parse_mixed_date(c: Column) -> Column:
         return F.coalesce(as_date(year, first, second), as_date(year, second, first))
 
     by_parts = F.when(F.length(text) == 10, either_order(*cut)).otherwise(either_order(*split))
-    return F.coalesce(c.try_cast("date"), by_parts)
+    other = F.when(text.rlike("^[0-9]{8}$"), as_date(*(F.substring(text, a, n) for a, n in ((1, 4), (5, 2), (7, 2)))))
+    other = other.when(text.rlike("^[0-9]+([/.])[0-9]+\\1[0-9]+$"), _separated(F.translate(text, "/.", "--"), either_order, as_date))
+    other = other.when(text.rlike("[A-Za-z]{3}"), _named_month(F.lower(text), as_date))
+    return F.coalesce(c.try_cast("date"), by_parts, other)
+
+
+def _separated(text: Column, either_order, as_date) -> Column:
+    a, b, c = (F.split_part(text, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
+    return F.when(F.length(a) == 4, as_date(a, b, c)).otherwise(either_order(a, b, c))
+
+
+def _named_month(text: Column, as_date) -> Column:
+    name = F.regexp_extract(text, "^[^a-z]*([a-z]{3,9})\\.?[^a-z]*$", 1)
+    months = F.create_map(*[F.lit(x) for item in MONTHS.items() for x in item])
+    long_name = ["january", "february", "march", "april", "june", "july", "august", "september", "october", "november"]
+    known = (F.length(name) == 3) | name.isin(*long_name, "december")
+    day_last = F.regexp_extract(text, "^[a-z]+\\.? +([0-9]{1,2}),? +[0-9]{4}$", 1)
+    day_first = F.regexp_extract(text, "^([0-9]{1,2})[ -][a-z]+\\.?,?[ -][0-9]{4}$", 1)
+    day = F.when(day_last != "", day_last).when(day_first != "", day_first)
+    return F.when(known, as_date(F.substring(text, -4, 4), months[F.substring(name, 1, 3)], day))
 
 
 def age_by_days(born: Column, as_of: date) -> Column:

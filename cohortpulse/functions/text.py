@@ -49,6 +49,18 @@ def bit_text(c: Column) -> Column:
     return lookup(strip(c.cast("string")), {"Yes": "1", "No": "0", "true": "1", "false": "0", "1": "1", "0": "0"})
 
 
+def whole_number(c: Column) -> Column:
+    """An integer written as such or with a zero fraction ('60', '60.0'); null for any other text."""
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(r"^[+-]?[0-9]{1,18}(\.0*)?$"), F.split_part(text, F.lit("."), F.lit(1)).try_cast("int"))
+
+
+def _number(text: Column) -> Column:
+    """Decimal notation only: a cast alone also takes type suffixes, as in '95d', and names of special values."""
+    plain = F.trim(text)
+    return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
+
+
 def percent_fraction(c: Column, negative: str = "tenth") -> Column:
     """Percent text ('95', '95%', '0.4') as a fraction; null if it is no number.
 
@@ -57,6 +69,6 @@ def percent_fraction(c: Column, negative: str = "tenth") -> Column:
     """
     if negative not in ("tenth", "null"):
         raise ValueError(f"negative must be 'tenth' or 'null', not {negative!r}")
-    x = F.nullif(F.replace(c.cast("string"), F.lit("%"), F.lit("")).try_cast("double"), F.lit(float("nan")))
+    x = _number(F.replace(c.cast("string"), F.lit("%"), F.lit("")))
     below_zero = F.abs(x) / 10 if negative == "tenth" else F.lit(None).cast("double")
     return F.when(x < 0, below_zero).when(x <= 1, x).otherwise(x / 100)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from cohortpulse.operators.aggregate import one
 
 
+EXACT = "decimal(38,0)"
+
 Facts = Mapping[str, tuple[DataFrame, Mapping[str, Column]]]
 
 
@@ -56,5 +58,17 @@ def multiplicity(rows: Column) -> Column:
 
 
 def product(*factors: Column) -> Column:
-    """Product of counts; null where it exceeds 64 bits instead of failing the job."""
-    return reduce(F.try_multiply, factors)
+    """Product of counts as ``decimal(38,0)``; beyond 38 digits the query fails instead of giving null."""
+
+    def times(a: Column, b: Column) -> Column:
+        exact = F.try_multiply(a, b.cast("decimal(20,0)")).cast(EXACT)
+        known = a.isNotNull() & b.isNotNull()
+        return F.when(known & exact.isNull(), F.raise_error(F.lit("a product of counts exceeds 38 digits"))).otherwise(exact)
+
+    return reduce(times, factors[1:], factors[0].cast("decimal(20,0)")).cast(EXACT)
+
+
+def as_bigint(count: Column) -> Column:
+    """A count of ``product`` for output; beyond 64 bits the query fails instead of giving null."""
+    too_large = F.raise_error(F.concat(F.lit("a count exceeds 64 bits: "), count.cast("string")))
+    return F.when(count > F.lit(2**63 - 1), too_large).otherwise(count.try_cast("bigint"))

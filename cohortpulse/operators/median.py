@@ -2,77 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortpulse.sources.scratch import written
+#: One over the rank error of the sketch that brackets the middle, as a share of a group's rows.
+ACCURACY = 10_000
 
 
-# Steps on each side of zero.
-BUCKETS = 100_000
+def _known(c: Column) -> Column:
+    """Neither null nor not-a-number."""
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
 
 
-def group_median(df: DataFrame, group: str, value: str, step: float = 0.001) -> DataFrame:
-    """(group, median) over the non-null values, the mean of the middle two where their number is even.
+def group_median(df: DataFrame, group: str, value: str, accuracy: int = ACCURACY) -> DataFrame:
+    """(group, median) over the values that are numbers, the mean of the middle two where their number is even.
 
-    A hash map of a whole group in one task is avoided. Equal values are counted first (shuffled by group and
-    value, so a hot group spreads), counts are added up per ``step`` of the value range, and only the one or
-    two steps that hold the middle ranks are put in order value by value. ``step`` changes cost, not results.
-    Values far from zero share the first or the last step, so the steps of a group are a bounded number.
+    No hash map or sort of a whole group in one task: a mergeable sketch brackets the middle of each group between two
+    values, equal values are counted (shuffled by group and value, so a hot group spreads), the rows below the bracket are
+    counted exactly, and only the values inside it, about ``4 / accuracy`` of the group, are put in order. Should the
+    exact counts say that the middle is not inside, the whole group is ordered. ``accuracy`` changes cost, not results,
+    and so does the range of the values.
     """
-    counts = (
-        df.select(F.col(group).alias("g"), F.col(value).alias("v"))
-        .filter("g IS NOT NULL AND v IS NOT NULL")
-        .groupBy("g", "v")
-        .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.greatest(F.lit(-BUCKETS), F.least(F.lit(BUCKETS), F.floor(F.col("v") / step))))
-    )
-    by_group = Window.partitionBy("g")
-    up_to_here = by_group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = df.select(F.col(group).alias("g"), F.col(value).alias("v")).where(F.col("g").isNotNull() & _known(F.col("v")))
+    ranks = [max(0.0, 0.5 - 2 / accuracy), min(1.0, 0.5 + 2 / accuracy)]
+    brackets = values.groupBy("g").agg(F.percentile_approx("v", ranks, accuracy).alias("b"), F.count("*").alias("size"))
+    # "lower" and "upper": 0-based ranks of the middle values, equal for an odd size
+    brackets = brackets.selectExpr("g AS bg", "b[0] AS low", "b[1] AS high", "(size - 1) div 2 AS lower", "size div 2 AS upper")
+    counts = values.groupBy("g", "v").agg(F.count("*").alias("n"))
+    placed = counts.join(brackets, F.col("g") == F.col("bg")).drop("bg")
+    below = F.coalesce(F.sum(F.when(F.col("v") < F.col("low"), F.col("n"))), F.lit(0))
+    through = F.coalesce(F.sum(F.when(F.col("v") <= F.col("high"), F.col("n"))), F.lit(0))
     middle = (
-        counts.groupBy("g", "bucket")
-        .agg(F.sum("n").alias("n"))
-        .withColumns(
-            {
-                "through": F.sum("n").over(up_to_here),
-                "size": F.sum("n").over(by_group),
-            }
-        )
-        # "lower" and "upper": 0-based ranks of the middle values, equal for an odd size
-        .selectExpr("*", "through - n AS before", "(size - 1) div 2 AS lower", "size div 2 AS upper")
-        .filter("(lower >= before AND lower < through) OR (upper >= before AND upper < through)")
-        .select(F.col("g").alias("mg"), F.col("bucket").alias("mb"), "before", "lower", "upper")
-    )
-    # Null-safe equality, though nothing is null: plain equality would add a filter to this use of the counts,
-    # and with it a second scan and shuffle.
-    same_bucket = F.col("g").eqNullSafe(F.col("mg")) & F.col("bucket").eqNullSafe(F.col("mb"))
-    up_to_value = (
-        Window.partitionBy("g", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed.groupBy("g", "low", "high", "lower", "upper")
+        .agg(below.alias("below"), through.alias("through"))
+        .selectExpr("g AS mg", "below", "lower >= below AND upper < through AS inside")
     )
+    ordered = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        counts.join(middle, same_bucket)
-        .withColumn("end", F.col("before") + F.sum("n").over(up_to_value))
+        placed.join(middle, F.col("g") == F.col("mg"))
+        .where("NOT inside OR v BETWEEN low AND high")
+        .withColumn("end", F.when(F.col("inside"), F.col("below")).otherwise(0) + F.sum("n").over(ordered))
         .withColumn("start", F.col("end") - F.col("n"))
         .groupBy("g")
         .agg(
-            F.max(F.expr("CASE WHEN lower >= start AND lower < end THEN v END")).alias("low"),
-            F.max(F.expr("CASE WHEN upper >= start AND upper < end THEN v END")).alias("high"),
+            F.max(F.expr("CASE WHEN lower >= start AND lower < end THEN v END")).alias("first"),
+            F.max(F.expr("CASE WHEN upper >= start AND upper < end THEN v END")).alias("second"),
         )
-        .select(F.col("g").alias(group), ((F.col("low") + F.col("high")) / 2).alias("median"))
+        .select(F.col("g").alias(group), ((F.col("first") + F.col("second")) / 2).alias("median"))
     )
 
 
 def fill_with_group_median(df: DataFrame, group: str, value: str) -> DataFrame:
-    """``value`` with its gaps filled by the median of its group; null wherever the group is null.
+    """``value`` with its gaps, not-a-number included, filled by the median of its group; null wherever the group is null.
 
-    The medians are written out first, one row per group. That makes their size known: the planner broadcasts
-    them if they are small, which leaves ``df`` unshuffled however uneven the groups are; otherwise it joins by
-    shuffle, where adaptive execution splits a skewed group.
+    Rows that need no filling pass by; only the others meet the medians, in a join whose strategy adaptive execution
+    chooses from the sizes it finds. Nothing runs before the result is asked for.
     """
     fill = f"{value} of {group}"
-    medians = written(group_median(df, group, value).withColumnRenamed("median", fill), "medians")
-    return (
-        df.join(medians, group, "left")
-        .withColumn(value, F.when(F.col(group).isNotNull(), F.coalesce(F.col(value), F.col(fill))))
-        .select(*df.columns)
-    )
+    medians = group_median(df, group, value).withColumnRenamed("median", fill)
+    gap = ~_known(F.col(value)) & F.col(group).isNotNull()
+    whole = df.where(~gap).withColumn(value, F.when(F.col(group).isNotNull(), F.col(value)))
+    filled = df.where(gap).join(medians, group, "left").withColumn(value, F.col(fill)).select(*df.columns)
+    return whole.unionByName(filled)

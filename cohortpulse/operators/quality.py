@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 
@@ -35,23 +40,22 @@ def counts_report(tables: Mapping[str, tuple[DataFrame, Mapping[str, Column]]])
         counted = df.agg(
             F.count("*").alias("rows"), *(F.count_if(p).alias(f"c{i}") for i, p in enumerate(conditions.values()))
         )
-        entries = ", ".join(f"struct('{c}' AS column, c{i} AS nulls)" for i, c in enumerate(conditions))
-        parts.append(
-            counted.selectExpr(
-                f"'{name}' AS table", "rows", f"{len(df.columns)}L AS columns", f"inline(array({entries}))"
-            )
-        )
+        entries = [
+            F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("nulls")) for i, c in enumerate(conditions)
+        ]
+        size = F.lit(len(df.columns)).cast("bigint").alias("columns")
+        parts.append(counted.select(F.lit(name).alias("table"), "rows", size, F.inline(F.array(*entries))))
     return _stack(parts)
 
 
 def null_conditions(df: DataFrame) -> dict[str, Column]:
-    return {c: F.expr(f"`{c}` IS NULL") for c in df.columns}
+    return {c: quoted(c).isNull() for c in df.columns}
 
 
 def orphan_counts(entities: DataFrame, key: str, facts: Mapping[str, DataFrame]) -> DataFrame:
     """(table, orphans): distinct fact keys, a null one included, that no entity has.
 
-    The keys of all facts are made distinct together, so the entities are read and joined once. A fact
+    The keys of all facts are made distinct together and joined once; an entity table too large to broadcast is read once. A fact
     without orphans, or without rows, is reported with 0.
     """
     names = list(facts)
@@ -71,7 +75,7 @@ def contents_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table, rows, columns, filled): as :func:`shape_report`, with the number of non-null values."""
     parts = []
     for name, df in tables.items():
-        filled = reduce(Column.__add__, [F.count(f"`{c}`") for c in df.columns])
+        filled = reduce(Column.__add__, [F.count(quoted(c)) for c in df.columns])
         parts.append(
             df.agg(F.count("*").alias("rows"), filled.alias("filled")).select(
                 F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).cast("bigint").alias("columns"), "filled"

@@ -31,6 +31,7 @@ def _ranked(direction: str) -> str:
         ORDER BY Avg_Score {direction}, p.Student_ID LIMIT 10"""
 
 
+# The labels of the bands, as the reports print them.
 RECORD_BAND = """CASE WHEN Exam_Score < 60 THEN 'Failing   (<60)' WHEN Exam_Score < 75 THEN 'Average   (60-74)'
     WHEN Exam_Score < 90 THEN 'Good      (75-89)' WHEN Exam_Score <= 100 THEN 'Excellent (90-100)'
     ELSE 'High      (101-110)' END"""
@@ -244,7 +245,16 @@ AUDIT = {
             ),
             ("attendance", "Attendance_Status", "Attendance_Status", "attendance"),
             ("homework", "Status", "Status", "homework"),
+            ("homework", "Due_Date", "Due_Date", "homework"),
             ("performance", "CompletionRate", "CompletionRate", "performance"),
+            ("parsed_performance", "Exam_Score", "Exam_Score", "raw_performance"),
+            (
+                "parsed_performance",
+                "Homework_Completion_% unreadable",
+                """CASE WHEN coalesce(trim("Homework_Completion_%"), '') = '' THEN 0
+                   ELSE try_cast(replace("Homework_Completion_%", '%', '') AS DOUBLE) END""",
+                "raw_performance",
+            ),
         )
     ),
     "status_value_counts": _stack(
@@ -257,7 +267,7 @@ AUDIT = {
         )
     ),
     "completion_rate_by_subject": f"""
-        SELECT Subject, {even("avg(CompletionRate)", 3)} AS Mean_CompletionRate
+        SELECT Subject, {even("sum(CompletionRate::DECIMAL(20,12))::DOUBLE / count(CompletionRate)", 3)} AS Mean_CompletionRate
         FROM performance WHERE Subject IS NOT NULL GROUP BY Subject""",
 }
 
@@ -344,7 +354,7 @@ DASHBOARD = {
 }
 
 SOURCES = {
-    "csv_scan_homework": "SELECT * FROM raw_homework",
+    "csv_scan_homework": "SELECT * REPLACE (nullif(Status, 'n/a') AS Status) FROM raw_homework",
     "table_scan": """
         SELECT s.Grade_Level, h.Subject, count(*) AS Assignments
         FROM key_homework h JOIN key_students s ON h.Student_ID = s.Student_ID

@@ -76,17 +76,16 @@ VIEWS = {
                  WHEN 2 THEN (50 + o_orderkey % 51)::VARCHAR || '%'
                  WHEN 3 THEN '0.' || (10 + o_orderkey % 90)::VARCHAR END AS "Homework_Completion_%",
                'note ' || o_orderkey::VARCHAR AS Teacher_Comments
-        FROM orders WHERE o_orderkey % 3 = 0""",
+        FROM orders""",
     "raw_communication": f"""
-        SELECT CASE WHEN event_type = 'signup'
+        SELECT CASE WHEN event_type = 'signup' AND event_id % 50 = 0
                  THEN 'S9' || lpad(user_id::VARCHAR, greatest(5, length(user_id::VARCHAR))::INT, '0')
                  ELSE {_key("user_id")} END AS Student_ID,
-               strftime(ts, '%Y-%m-%d') AS Date,
+               strftime(ts::DATE + (event_id % 180)::INT, '%Y-%m-%d') AS Date,
                CASE event_type WHEN 'click' THEN 'Teacher to Parent' WHEN 'view' THEN 'Parent to Teacher'
                  ELSE 'Automated Reminder' END AS Message_Type,
                'msg ' || event_id::VARCHAR AS Message_Content
-        FROM events
-        WHERE event_type IN ('click', 'view', 'purchase') OR (event_type = 'signup' AND event_id % 50 = 0)""",
+        FROM events""",
     # the story queries: raw tables with stripped keys
     **{
         f"key_{t}": f"SELECT * REPLACE (trim(Student_ID) AS Student_ID) FROM raw_{t}"

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortpulse.functions import half_even, parse_mixed_date, strip
+from cohortpulse.functions import half_even, parse_mixed_date, percent_fraction, strip, whole_number
 from cohortpulse.operators.aggregate import value_counts
+from cohortpulse.operators.median import group_median
 from cohortpulse.operators.quality import counts_report, null_conditions, orphan_counts, shape_report
 from cohortpulse.operators.rank import top_n
 from cohortpulse.plans.features import student_summary
@@ -43,7 +44,12 @@ def preview_summary(clean: Tables, rows: int = 5) -> DataFrame:
 
 
 def clean_shapes(clean: Tables) -> DataFrame:
-    return shape_report({**{name: clean[name] for name in CLEAN}, "student_summary": student_summary(clean)})
+    """Filling gaps adds no rows, and the summary has those of the students, so neither is built to be counted."""
+    counted = {name: clean["parsed_performance" if name == "performance" else name] for name in CLEAN}
+    summary = student_summary(clean).columns
+    students = clean["students"]
+    widened = students.select(*[F.col(c) if c in students.columns else F.lit(None).alias(c) for c in summary])
+    return shape_report({**counted, "student_summary": widened})
 
 
 def quality_report(raw: Tables, clean: Tables) -> DataFrame:
@@ -59,11 +65,19 @@ def quality_report(raw: Tables, clean: Tables) -> DataFrame:
 def unmapped_counts(raw: Tables, clean: Tables) -> DataFrame:
     """Values that cleaning could not read, zeros included."""
     born = parse_mixed_date(F.col("Date_of_Birth"))
+    percent = F.col("Homework_Completion_%")
     tables = {
         "students": (raw["students"], {"Date_of_Birth": born.isNull()}),
         "attendance": (clean["attendance"], {"Attendance_Status": F.col("Attendance_Status").isNull()}),
-        "homework": (clean["homework"], {"Status": F.col("Status").isNull()}),
+        "homework": (clean["homework"], {c: F.col(c).isNull() for c in ("Status", "Due_Date")}),
         "performance": (clean["performance"], {"CompletionRate": F.col("CompletionRate").isNull()}),
+        "parsed_performance": (
+            raw["performance"],
+            {
+                "Exam_Score": whole_number(F.col("Exam_Score")).isNull(),
+                "Homework_Completion_% unreadable": (F.trim(percent) != "") & percent_fraction(percent).isNull(),
+            },
+        ),
     }
     return counts_report(tables).select("table", "column", "rows", "nulls")
 
@@ -78,11 +92,20 @@ def status_value_counts(clean: Tables) -> DataFrame:
 
 
 def completion_rate_by_subject(clean: Tables) -> DataFrame:
-    """Mean completion rate after the median fill, to three digits."""
-    means = (
-        clean["performance"]
-        .filter(F.col("Subject").isNotNull())
-        .groupBy("Subject")
-        .agg(half_even(F.avg("CompletionRate"), 3).alias("Mean_CompletionRate"))
+    """Mean completion rate after the median fill, to three digits. The rows need no filling for that: each gap adds the
+    median once. Rates are added as decimals, so the sum does not depend on the order of the rows."""
+    exact = "decimal(20,12)"
+    parsed = clean["parsed_performance"].where(F.col("Subject").isNotNull())
+    sums = parsed.groupBy("Subject").agg(
+        F.sum(F.col("CompletionRate").cast(exact)).alias("total"),
+        F.count("CompletionRate").alias("known"),
+        F.count("*").alias("rows"),
+    )
+    medians = group_median(parsed, "Subject", "CompletionRate").withColumnRenamed("Subject", "of")
+    gaps = (F.col("rows") - F.col("known")).cast("decimal(18,0)") * F.col("median").cast(exact)
+    mean = (F.col("total") + gaps).cast("double") / F.col("rows")
+    return (
+        sums.join(medians, F.col("Subject") == F.col("of"), "left")
+        .select("Subject", half_even(mean, 3).alias("Mean_CompletionRate"))
+        .orderBy("Subject")
     )
-    return means.orderBy("Subject")

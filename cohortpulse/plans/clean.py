@@ -1,5 +1,5 @@
 """Raw tables to clean tables. Every step is a projection, so cleaning adds no shuffle to what follows it;
-only the median fill of completion rates needs a pass of its own."""
+only the medians that fill completion rates need passes of their own."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortpulse.functions import age_by_days, lookup, month_label, parse_mixed_date, percent_fraction, strip
+from cohortpulse.functions import age_by_days, lookup, month_label, parse_mixed_date, percent_fraction, strip, whole_number
 from cohortpulse.operators.median import fill_with_group_median
 from cohortpulse.plans.labels import ATTENDANCE_LABEL, GRADE_NUMBER, HOMEWORK_LABEL
 from cohortpulse.sources.schemas import KEY
@@ -54,7 +54,7 @@ def parse_performance(raw: DataFrame, negative: str = "tenth") -> DataFrame:
     return raw.select(
         strip(F.col(KEY)).alias(KEY),
         "Subject",
-        F.col("Exam_Score").try_cast("int").alias("Exam_Score"),
+        whole_number(F.col("Exam_Score")).alias("Exam_Score"),
         percent,
         percent_fraction(percent, negative).alias("CompletionRate"),
     )

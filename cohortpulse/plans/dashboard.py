@@ -38,8 +38,9 @@ def _copies_per_student(clean: Tables) -> DataFrame:
 def kpi_executive(clean: Tables) -> DataFrame:
     """Rates and the mean are over all records, those of unknown students included; enrolment and the at-risk
     count are over student rows. One outer join of per-student sums serves both, so each table is read once."""
-    joined = _copies_per_student(clean).join(student_profile(clean), KEY, "full")
-    totals = with_features(joined).agg(
+    # no measure asks for messages, so they are not read
+    joined = _copies_per_student(clean).join(student_profile(clean, without=("communication",)), KEY, "full")
+    totals = with_features(joined.withColumn("n_communication", F.lit(None).cast("bigint"))).agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("Total_Enrollment"),
         F.coalesce(F.sum(F.when(F.col("Is_At_Risk"), F.col("copies"))), F.lit(0)).alias("At_Risk_Count"),
         *(

@@ -28,9 +28,9 @@ def _facts(clean: Tables) -> Facts:
     }
 
 
-def student_profile(clean: Tables) -> DataFrame:
-    """Sums per student id over the four clean facts, ids unknown to the students table included."""
-    return fact_profile(KEY, _facts(clean))
+def student_profile(clean: Tables, without: tuple[str, ...] = ()) -> DataFrame:
+    """Sums per student id over the four clean facts, or all but some, ids unknown to the students table included."""
+    return fact_profile(KEY, {name: fact for name, fact in _facts(clean).items() if name not in without})
 
 
 def is_at_risk(attendance: Column, score: Column, missed: Column, rule: RiskRule = RiskRule()) -> Column:

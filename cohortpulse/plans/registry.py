@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortpulse.operators.quality import contents_report
 from cohortpulse.plans import audit, clean, dashboard, features, story
-from cohortpulse.plans.pipeline import export_csv, with_summary
+from cohortpulse.plans.pipeline import export_csv, with_summary, write_silver
 from cohortpulse.sources.files import read_bronze_csv, read_clean_csv, write_csv
 from cohortpulse.sources.fixtures import derived_tables
 from cohortpulse.sources.schemas import EXPORTED
@@ -121,26 +121,29 @@ def csv_scan_homework(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw homework written as CSV and scanned again: padded texts, blanks and emoji survive."""
     path = scratch_path(spark, "csv-scan") + "/homework.csv"
     write_csv(derived_tables(spark, sf_dir)["homework"], path)
-    return read_bronze_csv(spark, path, "homework")
+    return read_bronze_csv(spark, path, "homework", encoded=True)
 
 
 def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw tables registered as views and addressed from SQL."""
-    story.with_stripped_keys(derived_tables(spark, sf_dir)).register("students", "homework")
+    """Raw tables addressed from SQL by name; the session's own views stay as they are."""
+    keyed = story.with_stripped_keys(derived_tables(spark, sf_dir))
     return spark.sql(
         """
         SELECT s.Grade_Level, h.Subject, count(*) AS Assignments
-        FROM homework h JOIN students s ON h.Student_ID = s.Student_ID
+        FROM {homework} h JOIN {students} s ON h.Student_ID = s.Student_ID
         GROUP BY s.Grade_Level, h.Subject
         ORDER BY s.Grade_Level, h.Subject
-        """
+        """,
+        homework=keyed["homework"],
+        students=keyed["students"],
     )
 
 
 def export_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the five dashboard CSVs and reports what a typed scan of them finds."""
     root = scratch_path(spark, "export")
-    export_csv(with_summary(clean_of(spark, sf_dir)), root)
+    silver = write_silver(clean_of(spark, sf_dir), f"{root}/silver")  # cleaned once, for its file and for the summary
+    export_csv(with_summary(silver), root)
     return contents_report({name: read_clean_csv(spark, f"{root}/{name}.csv", name) for name in EXPORTED})
 
 

@@ -22,6 +22,7 @@ from cohortpulse.functions import (
     same_text,
     sql_upper_trim,
     strip,
+    whole_number,
 )
 from cohortpulse.operators.aggregate import (
     collapse_copies,
@@ -31,7 +32,7 @@ from cohortpulse.operators.aggregate import (
     share_of_total,
     sums_by_attribute,
 )
-from cohortpulse.operators.fanout import join_profile, multiplicity, product
+from cohortpulse.operators.fanout import as_bigint, join_profile, multiplicity, product
 from cohortpulse.operators.rank import top_n
 from cohortpulse.plans.labels import (
     AUTOMATED,
@@ -63,7 +64,7 @@ def _homework() -> Column:
 
 
 def _score() -> Column:
-    return F.col("Exam_Score").cast("int")
+    return whole_number(F.col("Exam_Score"))
 
 
 def _score_measures() -> dict[str, Column]:
@@ -296,10 +297,14 @@ def _contact_profile(raw: Tables, *columns: str) -> DataFrame:
 def contact_vs_score(raw: Tables) -> DataFrame:
     """Mean exam score of students with and without messages, each exam counted once per message, as the join
     of exams and messages would."""
-    weight = (F.col("copies") * multiplicity(F.col("n_messages"))).cast("decimal(19,0)")
+    return contact_scores(_contact_profile(raw, KEY))
+
+
+def contact_scores(per_student: DataFrame) -> DataFrame:
+    """:func:`contact_vs_score` from the sums of each student."""
+    weight = product(F.col("copies"), multiplicity(F.col("n_messages"))).cast("decimal(19,0)")
     return (
-        _contact_profile(raw, KEY)
-        .select(
+        per_student.select(
             F.when(F.col("n_messages").isNull(), "No Communication")
             .otherwise("Has Communication")
             .alias("Communication_Status"),
@@ -339,17 +344,21 @@ def contact_coverage_by_grade(raw: Tables) -> DataFrame:
 
 def top5_contacted(raw: Tables) -> DataFrame:
     """``Message_Count`` counts the rows of messages joined with exams, so it exceeds the messages."""
+    return _countable(most_contacted(_contact_profile(raw, *STUDENT)), "Message_Count")
+
+
+def most_contacted(per_student: DataFrame, n: int = 5) -> DataFrame:
+    """Ranks the sums of each student; ``Message_Count`` stays a decimal."""
     rows = product(F.col("copies"), F.col("n_messages"), multiplicity(F.col("n_performance")))
     counted = (
-        _contact_profile(raw, *STUDENT)
-        .filter("n_messages > 0")
+        per_student.filter("n_messages > 0")
         .select(
             *STUDENT,
             rows.alias("Message_Count"),
             exact_avg(F.col("score_sum"), F.col("scores")).alias("Avg_Exam_Score"),
         )
     )
-    return top_n(counted, 5, F.desc("Message_Count"), KEY)
+    return top_n(counted, n, F.desc("Message_Count"), KEY)
 
 
 def contacted_but_failing(raw: Tables) -> DataFrame:
@@ -369,9 +378,17 @@ def contacted_but_failing(raw: Tables) -> DataFrame:
 
 def at_risk_fanout(raw: Tables, rule: RiskRule = RiskRule()) -> DataFrame:
     """Students at risk as the join of all four facts reports them: ``Missed_Assignments`` is multiplied by the
-    rows of the other facts. Computed from one row per student; the join itself is never built. A count beyond
-    64 bits is null, its student stays in the result."""
-    per_student = join_profile(
+    rows of the other facts. Computed from one row per student; the join itself is never built. Counts are compared
+    as exact decimals; one beyond 64 bits ends the query with a message."""
+    return _countable(at_risk_of(_risk_profile(raw), rule), "Missed_Assignments")
+
+
+def _countable(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, as_bigint(F.col(column)))
+
+
+def _risk_profile(raw: Tables) -> DataFrame:
+    return join_profile(
         collapse_copies(raw["students"], *STUDENT),
         KEY,
         {
@@ -381,6 +398,10 @@ def at_risk_fanout(raw: Tables, rule: RiskRule = RiskRule()) -> DataFrame:
             "messages": (raw[COMMUNICATION], {}),
         },
     )
+
+
+def at_risk_of(per_student: DataFrame, rule: RiskRule = RiskRule()) -> DataFrame:
+    """The rule over the sums of each student; ``Missed_Assignments`` stays a decimal."""
     missed = F.coalesce("missed", F.lit(0).cast("bigint"))
     inflated = product(
         missed,
@@ -398,7 +419,7 @@ def at_risk_fanout(raw: Tables, rule: RiskRule = RiskRule()) -> DataFrame:
         .filter(
             (F.col("Attendance_Rate_Pct") < rule.attendance)
             & (F.col("Avg_Exam_Score") < rule.score)
-            & F.coalesce(F.col("Missed_Assignments") > rule.missed, F.lit(True))
+            & (F.col("Missed_Assignments") > rule.missed)
         )
         .orderBy("Avg_Exam_Score", "Attendance_Rate_Pct", KEY)
     )

@@ -4,39 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortpulse.sources.schemas import BRONZE, GOLD, SILVER
 from cohortpulse.sources.tables import Tables
 
 
+# The texts that pandas reads as missing.
+NA_VALUES = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+_SURPLUS = "fields beyond the header"
+
+
+def encoded_lines(c: Column) -> Column:
+    """Backslashes and line ends as ``\\\\``, ``\\n``, ``\\r``: one record stays one line, so files can be split."""
+    text = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def decoded_lines(c: Column) -> Column:
+    """The text that :func:`encoded_lines` was given."""
+    parts = F.transform(
+        F.split(c, r"\\\\"),
+        lambda part: F.replace(F.replace(part, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")),
+    )
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(parts, "\\")).otherwise(c)
+
+
 def read_bronze_csv(
     spark: SparkSession,
     path: str,
     table: str,
     multiline: bool = False,
-    na_values: Sequence[str] = (),
+    na_values: Sequence[str] = NA_VALUES,
+    encoded: bool = False,
 ) -> DataFrame:
     """One raw CSV with a header, all columns as strings and taken by name; blank fields are null.
 
-    ``na_values`` lists further texts that stand for missing. ``multiline`` allows line ends inside quotes;
-    such files cannot be split, so give it only where the data needs it and keep the files small.
+    ``na_values`` lists the texts that stand for missing. A row with more fields than the header ends the query, a row
+    with fewer is filled with nulls. ``multiline`` allows line ends inside quotes; such files cannot be split, so give it
+    only where the data needs it and keep the files small. ``encoded`` is for files of :func:`write_csv`.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    reader = spark.read.option("header", True).option("escape", '"').option("encoding", "UTF-8").option("multiLine", multiline)
+    raw = reader.csv(path)
     missing = set(BRONZE[table]) - set(raw.columns)
     if missing:
         raise ValueError(f"{path}: no column {sorted(missing)}; found {raw.columns}")
+    fields = StructType([StructField(c, StringType()) for c in (*raw.columns, _SURPLUS)])
+    wide = reader.schema(fields).csv(path)
+    refused = F.raise_error(F.concat(F.lit(f"{path}: a row has more fields than the header; the first too many: "), F.col(_SURPLUS)))
+    wide = wide.where(F.when(F.col(_SURPLUS).isNotNull(), refused).otherwise(F.lit(True)))
     columns = [F.col(f"`{name}`") for name in BRONZE[table]]
     if na_values:
-        columns = [F.when(~c.isin(list(na_values)), c).alias(n) for c, n in zip(columns, BRONZE[table])]
-    return raw.select(*columns)
+        columns = [F.when(~c.isin(list(na_values)), c) for c in columns]
+    if encoded:
+        columns = [decoded_lines(c) for c in columns]
+    return wide.select(*[c.alias(n) for c, n in zip(columns, BRONZE[table])])
 
 
 def bronze_tables(spark: SparkSession, root: str, **options) -> Tables:
@@ -46,15 +73,17 @@ def bronze_tables(spark: SparkSession, root: str, **options) -> Tables:
 
 def read_clean_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A CSV written by :func:`write_csv`, with the types of the clean table."""
-    return (
-        spark.read.schema((SILVER | GOLD)[table]).option("header", True).option("escape", '"').csv(path)
-    )
+    found = spark.read.schema((SILVER | GOLD)[table]).option("header", True).option("escape", '"').csv(path)
+    return found.select(*[decoded_lines(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in found.dtypes])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV parts, values kept as they are (the writer would trim them by default)."""
+    """A folder of CSV parts, values kept as they are (the writer would trim them by default) but for line ends and
+    backslashes, see :func:`encoded_lines`."""
+    lines = [encoded_lines(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]
     (
-        df.write.mode("overwrite")
+        df.select(*lines)
+        .write.mode("overwrite")
         .option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortpulse.sources.schemas import KEY
 from cohortpulse.sources.tables import Tables
 
+# The domains of the raw columns.
 SUBJECTS = ("Math", "Arabic", "Science", "History", "English", "Geography")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 ATTENDANCE = ("PRESENT", "Present", " late", "Late", "Absent", "absnt", "Left Early", "Excused")
@@ -97,35 +98,27 @@ def _performance(files: Tables) -> DataFrame:
         .when(n % 5 == 3, F.concat(F.lit("0."), (n % 90 + 10).cast("string")))
     )
     subject = _pick(SUBJECTS, F.call_function("div", n, F.lit(3)) % 6)
-    return (
-        files["orders"]
-        .filter(n % 3 == 0)
-        .select(
-            _key(F.col("o_custkey")).alias(KEY),
-            F.when(n % 303 != 0, subject).alias("Subject"),
-            (_cents() % 71 + 40).cast("int").alias("Exam_Score"),
-            percent.alias("Homework_Completion_%"),
-            F.concat(F.lit("note "), n.cast("string")).alias("Teacher_Comments"),
-        )
+    return files["orders"].select(
+        _key(F.col("o_custkey")).alias(KEY),
+        F.when(n % 303 != 0, subject).alias("Subject"),
+        (_cents() % 71 + 40).cast("int").alias("Exam_Score"),
+        percent.alias("Homework_Completion_%"),
+        F.concat(F.lit("note "), n.cast("string")).alias("Teacher_Comments"),
     )
 
 
 def _communication(files: Tables) -> DataFrame:
-    kind, signup = F.col("event_type"), F.col("event_type") == "signup"
-    return (
-        files["events"]
-        .filter(kind.isin("click", "view", "purchase") | (signup & (F.col("event_id") % 50 == 0)))
-        .select(
-            F.when(signup, F.concat(F.lit("S9"), _digits(F.col("user_id"), 5)))
-            .otherwise(_key(F.col("user_id")))
-            .alias(KEY),
-            F.col("ts").cast("date").cast("string").alias("Date"),
-            F.when(kind == "click", "Teacher to Parent")
-            .when(kind == "view", "Parent to Teacher")
-            .otherwise("Automated Reminder")
-            .alias("Message_Type"),
-            F.concat(F.lit("msg "), F.col("event_id").cast("string")).alias("Message_Content"),
-        )
+    kind, n = F.col("event_type"), F.col("event_id")
+    orphan = (kind == "signup") & (n % 50 == 0)
+    day = F.date_add(F.col("ts").cast("date"), (n % 180).cast("int"))
+    return files["events"].select(
+        F.when(orphan, F.concat(F.lit("S9"), _digits(F.col("user_id"), 5))).otherwise(_key(F.col("user_id"))).alias(KEY),
+        day.cast("string").alias("Date"),
+        F.when(kind == "click", "Teacher to Parent")
+        .when(kind == "view", "Parent to Teacher")
+        .otherwise("Automated Reminder")
+        .alias("Message_Type"),
+        F.concat(F.lit("msg "), n.cast("string")).alias("Message_Content"),
     )
 
 

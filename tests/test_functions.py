@@ -24,6 +24,7 @@ from cohortpulse.functions import (
     same_text,
     sql_upper_trim,
     strip,
+    whole_number,
 )
 from cohortpulse.functions.text import UNICODE_SPACES
 from cohortpulse.plans.features import is_at_risk
@@ -79,13 +80,29 @@ def test_bit_text(spark):
 
 
 def test_percent_fraction(spark):
-    given = ["95", "95%", "0.4", "1", "1%", "105%", "-5", None, "nan", "many"]
-    assert apply(spark, given, "string", percent_fraction) == [0.95, 0.95, 0.4, 1.0, 1.0, 1.05, 0.5, None, None, None]
+    given = ["95", "95%", "0.4", "1", "1%", "105%", "-5", None, "nan", "many", "95d", "95f", " 95 % ", "9.5e1", "inf"]
+    expected = [0.95, 0.95, 0.4, 1.0, 1.0, 1.05, 0.5, None, None, None, None, None, 0.95, 0.95, None]
+    assert apply(spark, given, "string", percent_fraction) == expected
     assert apply(spark, ["-5", "95"], "string", lambda c: percent_fraction(c, "null")) == [None, 0.95]
     with pytest.raises(ValueError):
         percent_fraction(F.col("v"), "zero")
 
 
+def test_whole_number(spark):
+    given = ["60", "60.0", " 60 ", "60.", "-5", "60.5", "60d", "", "x", None, "99999999999"]
+    assert apply(spark, given, "string", whole_number) == [60, 60, 60, 60, -5, None, None, None, None, None, None]
+    assert apply(spark, [60, None], "int", whole_number) == [60, None]
+
+
+def test_parse_other_date_forms(spark):
+    day = date(2015, 3, 4)
+    given = ["2015/03/04", "2015/3/4", "03/04/2015", "3/4/2015", "20150304", "March 4, 2015", "4 March 2015", "Mar 4 2015"]
+    given += ["4-Mar-2015", "Mar. 4, 2015", "2015.03.04", "mar 04, 2015"]
+    assert apply(spark, given, "string", parse_mixed_date) == [day] * len(given)
+    bad = ["Marsh 4, 2015", "4 2015", "20151304", "2015/13/13", "March 44, 2015", "x/y/z", "2015/03-04", "March 2015"]
+    assert apply(spark, bad, "string", parse_mixed_date) == [None] * len(bad)
+
+
 def test_parse_mixed_date(spark):
     given = ["2015-03-04", "03-04-2015", "25-12-2015", " 2015-03-04 ", "junk", "", "13-13-2015", None]
     day = date(2015, 3, 4)

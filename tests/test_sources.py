@@ -12,7 +12,7 @@ from cohortpulse.plans.pipeline import run, write_silver
 from cohortpulse.plans.registry import clean_of
 from cohortpulse.sources.files import read_bronze_csv, read_clean_csv, write_csv, write_parquet
 from cohortpulse.sources.fixtures import derived_tables
-from cohortpulse.sources.schemas import BRONZE, EXPORTED
+from cohortpulse.sources.schemas import BRONZE, EXPORTED, SILVER
 from cohortpulse.sources.scratch import scratch_path, written
 from tests.helpers import AS_OF, first_plan, rows
 
@@ -22,10 +22,41 @@ def test_csv_round_trip(spark, tmp_path):
         ("S1", "HW-1", "Math", "2024-01-01", " Done ", "Yes", 'a "q", b'),
         (" S2 ", None, "Arabic", "01-02-2024", "✅", " ", None),
         ("S3", "x,y", None, None, "❌", None, "\\"),
+        ("S4", "two\nlines\r\n", "a\\nb", "\\\\n", '"\n"', " x", "\n"),
     ]
     df = spark.createDataFrame(given, ", ".join(f"{c} string" for c in BRONZE["homework"]))
     write_csv(df, str(tmp_path / "hw.csv"))
-    assert sorted(rows(read_bronze_csv(spark, str(tmp_path / "hw.csv"), "homework"))) == sorted(given)
+    assert sorted(rows(read_bronze_csv(spark, str(tmp_path / "hw.csv"), "homework", encoded=True))) == sorted(given)
+    assert spark.read.text(str(tmp_path / "hw.csv")).where("value NOT LIKE 'Student%'").count() == len(given)
+
+
+def test_typed_csv_keeps_line_ends(spark, tmp_path):
+    given = [("S1", "A\nB", "Grade 1", 1, 9), ("S\\2", None, "x\r", None, None)]
+    write_csv(spark.createDataFrame(given, SILVER["students"]), str(tmp_path / "s.csv"))
+    assert sorted(rows(read_clean_csv(spark, str(tmp_path / "s.csv"), "students"))) == sorted(given)
+
+
+def test_ragged_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Student_ID,Date,Subject,Attendance_Status\nS1,2024-01-01\n")
+    assert rows(read_bronze_csv(spark, str(tmp_path / "a.csv"), "attendance")) == [("S1", "2024-01-01", None, None)]
+    (tmp_path / "b.csv").write_text("Student_ID,Date,Subject,Attendance_Status\nS1,d,Math,Late,more\n")
+    with pytest.raises(Exception, match="more fields than the header"):
+        read_bronze_csv(spark, str(tmp_path / "b.csv"), "attendance").select("Student_ID").collect()
+
+
+def test_usual_texts_for_missing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Student_ID,Date,Subject,Attendance_Status\nNA,null,n/a,Late\n")
+    path = str(tmp_path / "a.csv")
+    assert rows(read_bronze_csv(spark, path, "attendance")) == [(None, None, None, "Late")]
+    assert rows(read_bronze_csv(spark, path, "attendance", na_values=["Late"])) == [("NA", "null", "n/a", None)]
+
+
+def test_derived_tables_read_whole_tables(spark, sf_dir):
+    raw = derived_tables(spark, sf_dir)
+    sources = {"students": "customer", "homework": "orders", "performance": "orders", "attendance": "lineitem"}
+    for name, source in (sources | {"teacher_parent_communication": "events"}).items():
+        assert raw[name].count() == spark.read.parquet(f"{sf_dir}/{source}.parquet").count()
+    assert raw["teacher_parent_communication"].select(F.substring("Date", 1, 7)).distinct().count() >= 6
 
 
 def test_csv_columns_are_taken_by_name(spark, tmp_path):
@@ -33,8 +64,8 @@ def test_csv_columns_are_taken_by_name(spark, tmp_path):
         "Extra,Grade_Level,Student_ID,Full_Name,Emergency_Contact,Date_of_Birth\n1,Grade 1, S1 ,n/a,,2015-01-01\n"
     )
     path = str(tmp_path / "s.csv")
-    assert rows(read_bronze_csv(spark, path, "students")) == [(" S1 ", "n/a", "Grade 1", "2015-01-01", None)]
-    assert rows(read_bronze_csv(spark, path, "students", na_values=["n/a"]))[0][1] is None
+    assert rows(read_bronze_csv(spark, path, "students", na_values=())) == [(" S1 ", "n/a", "Grade 1", "2015-01-01", None)]
+    assert rows(read_bronze_csv(spark, path, "students"))[0][1] is None
 
 
 def test_csv_without_a_column_is_refused(spark, tmp_path):
