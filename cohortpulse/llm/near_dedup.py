@@ -8,8 +8,8 @@
    the others are confirmed on their full sets.
 4. Confirmed links give components by large-star and small-star.
 5. Buckets whose members are not all in one component are taken up again, with another leader (``ROUNDS``), then with all
-   pairs across components, tile by tile, so that no link is lost to the choice of leaders. Pairs that are already
-   connected are never looked at again.
+   pairs across components, tile by tile inside tasks, so that no link is lost to the choice of leaders. Pairs that are
+   already connected are never looked at again.
 
 A pair at the similarity limit misses all 32 bands with probability (1 - 0.75^4)^32 < 6e-6.
 
@@ -38,7 +38,7 @@ HASHES, ROWS = 128, 4
 LEAST_AGREEING = 68
 ROUNDS = 2
 #: Members of a leader that one task confirms, and the side of a tile.
-SHARE, TILE = 512, 512
+SHARE, TILE = 512, 1024
 PIECE = 2_000_000
 
 _rng = np.random.default_rng(17)
@@ -91,8 +91,12 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(ROWS):
             key = mixed((key * U64(0x9E3779B97F4A7C15) + m[:, r::ROWS]).ravel()).reshape(key.shape)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), bands))],
-            names=["key", "node"],
+            [
+                pa.array(key.ravel().view(np.int64)),
+                pa.array(np.tile(np.arange(bands, dtype=np.int32), len(m))),
+                pa.array(np.repeat(batch.column("node").to_numpy(), bands)),
+            ],
+            names=["key", "band", "node"],
         )
 
 
@@ -167,38 +171,31 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def _open_pairs(bands: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``leader, node``: all pairs of members of one bucket that are in different components and whose minima agree often
-    enough. A bucket is a square of tiles; buckets with the same members are looked at once."""
+def _open_links(bands: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """``u, v``: links that join different components, from all pairs of members of one bucket, compared inside tasks.
+
+    A bucket is a square of tiles of ``TILE`` members a side, so that none is too large for a task; a tile gives a forest
+    of links at most, never its pairs.
+    """
     marked = bands.join(labels, "node")
     buckets = (
         marked.groupBy("key")
-        .agg(
-            F.count("*").alias("members"),
-            F.bit_xor(F.xxhash64("node", F.lit(1))).alias("who"),
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-        )
+        .agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low != high")
-        .groupBy("members", "who")
-        .agg(F.min("key").alias("bucket"))
+        .select(F.col("key").alias("bucket"), (F.floor((F.col("members") - 1) / TILE) + 1).alias("sides"))
     )
-    sides = F.floor((F.col("members") - 1) / TILE) + 1
-    in_bucket = (
+    placed = (
         marked.join(buckets, F.col("key") == F.col("bucket"))
-        .withColumn("sides", sides)
         .withColumn("side", F.pmod(F.xxhash64("node", F.lit(2)), F.col("sides")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
-        .select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node", "label")
+        .select("key", "band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node", "label")
     )
-    members = in_bucket.join(sketches, "node")
-    n = shuffle_partitions(bands.sparkSession)
+    members = _side(sets, placed)
     return (
-        members.repartition(n, "key", "x", "y")
+        members.repartition(shuffle_partitions(bands.sparkSession), "key", "x", "y")
         .sortWithinPartitions("key", "x", "y", "side", "node")
-        .select("key", "x", "y", "side", "node", "label", "minima")
-        .mapInArrow(_tiles, "leader long, node long")
-        .distinct()
+        .select("key", "x", "y", "band", "side", "node", "label", "minima", "text")
+        .mapInArrow(_tiles, "u long, v long")
     )
 
 
@@ -206,31 +203,54 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come tile by tile; a tile's members are few by construction."""
     at: tuple | None = None
     held: list[tuple] = []
-
-    def compared() -> Iterator[pa.RecordBatch]:
-        key, x, y = at
-        sides, nodes, labels = (np.array([h[i] for h in held]) for i in range(3))
-        m = np.stack([np.frombuffer(h[3], np.uint32) for h in held])
-        left, right = np.flatnonzero(sides == x), np.flatnonzero(sides == y)
-        for i in left:
-            others = right[(nodes[right] > nodes[i]) | (x != y)]
-            others = others[labels[others] != labels[i]]
-            close = others[(m[others] == m[i]).sum(axis=1) >= LEAST_AGREEING]
-            if len(close):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(close), nodes[i])), pa.array(nodes[close])], names=["leader", "node"]
-                )
-
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
         for key, x, y, *rest in zip(*columns):
             if at != (key, x, y):
                 if held:
-                    yield from compared()
+                    yield from _forest(at, held)
                 at, held = (key, x, y), []
             held.append(tuple(rest))
     if held:
-        yield from compared()
+        yield from _forest(at, held)
+
+
+def _forest(tile: tuple, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Links between components found in one tile. A pair that shares several buckets is compared in that of its first
+    common band only."""
+    _, x, y = tile
+    band = held[0][0]
+    sides, nodes, part = (np.array([h[i] for h in held]) for i in (1, 2, 3))
+    if len(np.unique(part)) == 1:
+        return
+    m = np.stack([np.frombuffer(h[4], np.uint32) for h in held])
+    hashes, counts = shingle_sets([h[5].encode() for h in held], SHINGLE)
+    ends = np.cumsum(counts)
+    found: list[tuple[int, int]] = []
+    right = np.flatnonzero(sides == y)
+    for i in np.flatnonzero(sides == x):
+        others = right[part[right] != part[i]]
+        if x == y:
+            others = others[others > i]
+        others = others[np.abs(counts[others] - counts[i]) * 100 <= (100 - PERCENT) * np.maximum(counts[others], counts[i])]
+        same = m[others] == m[i]
+        close = same.sum(axis=1) >= LEAST_AGREEING
+        first = same[close].reshape(-1, HASHES // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
+        others = others[close][first]
+        if not len(others):
+            continue
+        own = hashes[ends[i] - counts[i] : ends[i]]
+        theirs = np.concatenate([hashes[ends[j] - counts[j] : ends[j]] for j in others])
+        place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+        size = counts[others]
+        common = np.add.reduceat((own[place] == theirs).astype(np.int64), np.cumsum(size) - size)
+        for j in others[100 * common >= PERCENT * (size + counts[i] - common)]:
+            if part[i] != part[j]:
+                found.append((int(nodes[i]), int(nodes[j])))
+                part[part == part[j]] = part[i]
+    if found:
+        u, v = zip(*found)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def _labels(classes: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -255,10 +275,10 @@ def groups(docs: DataFrame) -> DataFrame:
     kept = rows.select("row", "doc_id", "text_hash", "minima").join(classes.select("node"), F.col("row") == F.col("node"))
     kept = written(kept.drop("row"), "near-kept")
     sketches = kept.select("node", "minima")
-    bands = written(sketches.select("minima", "node").mapInArrow(_bands, "key long, node long"), "near-bands")
+    bands = written(sketches.select("minima", "node").mapInArrow(_bands, "key long, band int, node long"), "near-bands")
     # buckets of one member are done
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("key", "bucket")
-    bands = written(bands.join(shared, F.col("key") == F.col("bucket")).select("key", "node"), "near-shared")
+    bands = written(bands.join(shared, F.col("key") == F.col("bucket")).select("key", "band", "node"), "near-shared")
     wanted = bands.select("node").distinct().withColumnRenamed("node", "wanted")
     wanted = kept.join(wanted, F.col("node") == F.col("wanted")).select(
         F.col("node").alias("set_node"), F.col("doc_id").alias("set_doc"), F.col("text_hash").alias("set_hash"), "minima"
@@ -273,7 +293,7 @@ def groups(docs: DataFrame) -> DataFrame:
         new = _confirmed(_leaders(bands, None if turn == 0 else labels, turn), sets)
         links = written(new if links is None else links.union(new), "near-links")
         labels = _labels(classes, links)
-    links = links.union(_confirmed(_open_pairs(bands, labels, sketches), sets))
+    links = links.union(_open_links(bands, labels, sets))
     labels = _labels(classes, links)
 
     labelled = classes.join(labels.withColumnRenamed("node", "member"), F.col("node") == F.col("member"))

@@ -136,8 +136,11 @@ def test_near_dedup_against_brute_force(spark, sf_dir):
     assert got == near_groups([(r["doc_id"], r["text"]) for r in docs])
 
 
-def test_near_dedup_keeps_every_link_of_a_group(spark):
+@pytest.mark.parametrize("tile", [8, near_dedup.TILE])
+def test_near_dedup_keeps_every_link_of_a_group(spark, monkeypatch, tile):
     """Variants of one text: few pairs of variants are similar, each is similar to the text itself."""
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 5000, 120)]
     rows = []
