@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortpulse.llm.common import U64, documents, mixed
-from cohortpulse.llm.exchange import answered, asked, by_lot, lots, packed, with_answers
+from cohortpulse.llm.exchange import answered, asked, by_lot, from_planes, lots, packed, planes, with_answers
 from cohortpulse.llm.shingles import runs, word_hashes
 
 WINDOW = 20
 BLOCK = WINDOW // 2
-PIECE = 1_500_000
 #: Bits of a probe beside its shard, then two flags.
-PROBE_BITS = 38
+PROBE_BITS = 30
 NO_ID = (1 << 63) - 1
 _RESULT = (
     "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, removed array<struct<start: long, words: long>>"
@@ -49,11 +48,11 @@ def _low(h: np.ndarray) -> np.ndarray:
 
 
 def _probes(shards: int):
-    """Sends each different run of a lot's texts to its shard: 38 bits, whether it is a reference block, whether the lot
+    """Sends each different run of a lot's texts to its shard: 30 bits, whether it is a reference block, whether the lot
     has it more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot, _, _, _, texts in by_lot(batches, PIECE):
+        for lot, _, _, texts in by_lot(batches):
             words, counts, *_ = word_hashes(texts, lower=False)
             h, first = runs(words, counts, BLOCK)
             if not len(h):
@@ -67,52 +66,44 @@ def _probes(shards: int):
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])])
             flags = np.bitwise_or.reduceat(value & U64(1), starts)
             many = (np.diff(np.r_[starts, len(value)]) > 1).astype(U64) << U64(1)
-            entry = (value[starts] & ~U64(3)) | flags | many
-            raw = entry.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            entry = ((value[starts] & ~U64(3)) | flags | many).astype("<u4")
             shard = shard[starts]
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-            blobs = [raw[a:b].tobytes() for a, b in zip(cuts, np.r_[cuts[1:], len(shard)])]
+            blobs = [planes(entry[a:b]) for a, b in zip(cuts, np.r_[cuts[1:], len(shard)])]
             yield packed(shard[cuts].tolist(), [lot] * len(cuts), blobs)
 
     return run
 
 
-def _entries(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").ravel().astype(U64)
-
-
 def _hits(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """Tells each lot which of its runs are reference blocks and occur more than once."""
-    parts = [_entries(blob) for _, blob in held]
+    parts = [from_planes(blob, "<u4") for _, blob in held]
     everything = np.sort(np.concatenate(parts))
-    key = everything >> U64(2)
+    key = everything >> np.uint32(2)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    flags = np.bitwise_or.reduceat(everything & U64(3), starts)
-    often = (np.diff(np.r_[starts, len(key)]) > 1) | (flags & U64(2) > 0)
-    hit = key[starts][often & (flags & U64(1) > 0)]
+    flags = np.bitwise_or.reduceat(everything & np.uint32(3), starts)
+    often = (np.diff(np.r_[starts, len(key)]) > 1) | (flags & np.uint32(2) > 0)
+    hit = key[starts][often & (flags & np.uint32(1) > 0)]
     if not len(hit):
         return
     for (lot, _), part in zip(held, parts):
-        own = part >> U64(2)
+        own = part >> np.uint32(2)
         place = np.minimum(np.searchsorted(hit, own), len(hit) - 1)
         found = own[hit[place] == own]
         if len(found):
-            yield lot, found.astype("<u8").tobytes()
+            yield lot, found.astype("<u4").tobytes()
 
 
 def _windows(shards: int):
     """Extends hits: sends the fingerprint of each window that covers one, with its document and start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot, answers, _, ids, texts in by_lot(batches, PIECE):
+        for lot, answers, ids, texts in by_lot(batches):
             if not answers:
                 continue
             words, counts, *_ = word_hashes(texts, lower=False)
             h, first = runs(words, counts, BLOCK)
-            hit = np.unique(np.frombuffer(answers, "<u8").astype(U64))
+            hit = np.unique(np.frombuffer(answers, "<u4")).astype(U64)
             low = _low(h)
             place = np.minimum(np.searchsorted(hit, low), len(hit) - 1)
             at = first[hit[place] == low]
@@ -137,7 +128,7 @@ def _windows(shards: int):
             for a, b in zip(cuts, np.r_[cuts[1:], len(shard)]):
                 part = order[a:b]
                 columns = (full[part].astype("<u8"), extra[part], doc[part].astype("<i8"), offset[part].astype("<u4"))
-                blobs.append(b"".join(c.tobytes() for c in columns))
+                blobs.append(b"".join(map(planes, columns)))
             yield packed(shard[cuts].tolist(), [lot] * len(cuts), blobs)
 
     return run
@@ -158,7 +149,7 @@ def _later(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         n = len(blob) // 22
         ends = np.cumsum([0, 8 * n, 2 * n, 8 * n, 4 * n])
         for column, kind, a, b in zip(columns, ("<u8", "<u2", "<i8", "<u4"), ends[:-1], ends[1:]):
-            column.append(np.frombuffer(blob[a:b], kind))
+            column.append(from_planes(blob[a:b], kind))
         columns[4].append(np.full(n, k, np.int32))
     full, extra, doc, start, lot = map(np.concatenate, columns)
     order = np.lexsort((start, doc, extra, full))
@@ -166,7 +157,7 @@ def _later(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     new = np.r_[True, (full[1:] != full[:-1]) | (extra[1:] != extra[:-1])]
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = np.flatnonzero((doc != doc[first]) | (start != start[first]))
-    later = later[np.argsort(lot[later], kind="stable")]
+    later = later[np.lexsort((start[later], doc[later], lot[later]))]
     cuts = np.flatnonzero(np.r_[True, lot[later][1:] != lot[later][:-1]]) if len(later) else []
     for a, b in zip(cuts, np.r_[cuts[1:], len(later)].astype(int) if len(later) else []):
         part = later[a:b]
@@ -178,7 +169,7 @@ def _later(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
 def _reduced(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot_before, marks = None, {}
-        for lot, answers, _, ids, texts in by_lot(batches, PIECE):
+        for lot, answers, ids, texts in by_lot(batches):
             if lot != lot_before:
                 told = np.sort(np.frombuffer(answers, [("doc", "<i8"), ("start", "<u4")]), order=["doc", "start"])
                 cuts = np.flatnonzero(np.r_[True, told["doc"][1:] != told["doc"][:-1]]) if len(told) else []
