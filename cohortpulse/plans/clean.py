@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortpulse.functions import age_by_days, lookup, month_label, parse_mixed_date, percent_fraction, strip, whole_number
@@ -36,8 +36,8 @@ def clean_attendance(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_homework(raw: DataFrame) -> DataFrame:
-    """A blank, missing or unknown signature is no evidence of a sign-off: False."""
+def clean_homework(raw: DataFrame, *more: Column) -> DataFrame:
+    """A blank, missing or unknown signature is no evidence of a sign-off: False. ``more`` are further columns of raw."""
     return raw.select(
         strip(F.col(KEY)).alias(KEY),
         "Subject",
@@ -45,6 +45,7 @@ def clean_homework(raw: DataFrame) -> DataFrame:
         lookup(strip(F.col("Status")), HOMEWORK_LABEL).alias("Status"),
         F.coalesce(strip(F.col("Guardian_Signature")) == "Yes", F.lit(False)).alias("Guardian_Signature"),
         "Grade_Feedback",
+        *more,
     )
 
 

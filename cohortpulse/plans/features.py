@@ -15,7 +15,8 @@ from cohortpulse.sources.tables import Tables
 ATTENDANCE_RATE = "Attendance_Rate_%"
 
 
-def _facts(clean: Tables) -> Facts:
+def summary_facts(clean: Tables) -> Facts:
+    """The facts of the summary and what it sums of them."""
     score = F.col("Exam_Score")
     return {
         "attendance": (clean["attendance"], {"present": flag(F.col("Attendance_Status") == "Present")}),
@@ -30,7 +31,7 @@ def _facts(clean: Tables) -> Facts:
 
 def student_profile(clean: Tables, without: tuple[str, ...] = ()) -> DataFrame:
     """Sums per student id over the four clean facts, or all but some, ids unknown to the students table included."""
-    return fact_profile(KEY, {name: fact for name, fact in _facts(clean).items() if name not in without})
+    return fact_profile(KEY, {name: fact for name, fact in summary_facts(clean).items() if name not in without})
 
 
 def is_at_risk(attendance: Column, score: Column, missed: Column, rule: RiskRule = RiskRule()) -> Column:
@@ -63,7 +64,7 @@ def with_features(profiled: DataFrame, rule: RiskRule = RiskRule()) -> DataFrame
 
 def student_summary(clean: Tables, rule: RiskRule = RiskRule()) -> DataFrame:
     """All features of each student. Selecting some of them leaves the facts of the others unread."""
-    profiled = join_profile(clean["students"], KEY, _facts(clean))
+    profiled = join_profile(clean["students"], KEY, summary_facts(clean))
     return with_features(profiled, rule).select(
         KEY,
         "Full_Name",

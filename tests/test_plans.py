@@ -96,6 +96,12 @@ def test_counting_rows_computes_no_medians(spark, sf_dir):
     assert "percentile_approx" not in plan and plan.count("FileScan") <= 7
 
 
+def test_quality_report_reads_facts_once(spark, sf_dir):
+    plan = first_plan(QUERIES["quality_report"](spark, sf_dir))
+    # students, attendance (a join of two files), homework, messages, and performance twice
+    assert plan.count("FileScan") == 7
+
+
 def test_only_needed_columns_are_read(spark, sf_dir):
     plan = first_plan(QUERIES["feedback_distribution"](spark, sf_dir))
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"o_orderkey:bigint"}
