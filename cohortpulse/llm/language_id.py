@@ -37,7 +37,7 @@ DAMPING = 0.4
 LEAST_SHARE = 0.001
 UNKNOWN = "und"
 #: Characters handled at a time.
-PIECE = 6_000_000
+PIECE = 2_000_000
 
 # First code points of script ranges and their script; 0 is any other script.
 # Latin 1, Greek 2, Cyrillic 3, Armenian 4, Hebrew 5, Arabic 6, Devanagari 7, Bengali 8, Tamil 9, Telugu 10, Thai 11,
@@ -229,14 +229,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose text has a language: others have no letter to read."""
+    """The rows of ``docs``, with their columns, whose text has a language: others have no letter to read.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            languages, _, _ = predict(batch.column("text").to_pylist(), model)
-            yield batch.filter(pa.array([x != UNKNOWN for x in languages], pa.bool_()))
+    Only texts go to Python and only verdicts come back.
+    """
+
+    @F.pandas_udf("boolean")
+    def has_language(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([x != UNKNOWN for x in predict(list(texts), model)[0]], dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(has_language(F.col("text")))
 
 
 def fitted(docs: DataFrame) -> Model:
