@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from cohortpulse.llm import exact_dedup, language_id, licenses, mixing, near_dedup, neighbours, packing, substring_dedup, suffix_dedup, toxicity
+from cohortpulse.llm import (
+    exact_dedup,
+    language_id,
+    licenses,
+    mixing,
+    near_dedup,
+    neighbours,
+    packing,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 
 LLM_QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
