@@ -60,6 +60,7 @@ def _tokenised(path: str):
                     ],
                     names=["doc_id", "lexical", "ids"],
                 )
+        encoder(path).rest()
 
     return run
 

@@ -7,7 +7,7 @@ import os
 import re
 from array import array
 from functools import cache
-from itertools import accumulate, pairwise
+from itertools import accumulate, islice, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +18,9 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks, which another library reads faster.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words whose ids a worker keeps in each of two generations, and the longest it keeps.
-KEPT_WORDS, LONGEST_KEPT = 300_000, 48
+KEPT_WORDS, LONGEST_KEPT = 250_000, 48
+#: Words it keeps between tasks.
+RESTING_WORDS = 60_000
 #: Up to here both libraries split texts alike beyond doubt.
 _PLAIN = "ɏ"
 
@@ -86,6 +88,11 @@ class Encoder:
         return [np.frombuffer(b"".join(codes[a:b]), "<u2") for a, b in pairwise(ends)]
 
 
+    def rest(self) -> None:
+        """Keeps only the words met first, which are mostly the frequent ones: a worker goes on to other tasks."""
+        self.recent, self.older = dict(islice(self.recent.items(), RESTING_WORDS)), {}
+
+
 @cache
 def encoder(path: str = VOCABULARY, ranks: str = RANKS) -> Encoder:
     """One for each worker process."""
