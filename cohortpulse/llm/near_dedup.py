@@ -39,7 +39,7 @@ LEAST_AGREEING = 68
 ROUNDS = 2
 #: Members of a leader that one task confirms, and the side of a tile.
 SHARE, TILE = 512, 1024
-PIECE = 2_000_000
+PIECE = 1_000_000
 
 _rng = np.random.default_rng(17)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -67,9 +67,9 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
-        for a, b in pieces(np.array([len(t) for t in texts]), PIECE):
-            hashes, counts = shingle_sets(texts[a:b], SHINGLE)
+        texts = batch.column("text").to_pylist()
+        for a, b in pieces(np.array([len(t) if t else 0 for t in texts]), PIECE):
+            hashes, counts = shingle_sets([t.encode() if t else b"" for t in texts[a:b]], SHINGLE)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(a, b - a),
