@@ -1,9 +1,10 @@
 """License statements found by conditional compression.
 
 Lines that use the vocabulary of licenses, with the lines between them, are candidate blocks. Each block is compressed with
-Zstandard alone and with each template as raw dictionary; what a template saves ranks the templates. The best ones are
-confirmed word by word: the block must hold nearly all words of the template in order, and every word that tells versions
-apart (one with a digit) exactly. The differences are returned.
+Zstandard alone and with each template as raw dictionary; what a template saves ranks the templates. All whose words the
+block holds are confirmed word by word, however little they save: a short statement saves next to nothing in a block of
+license prose. The block must hold nearly all words of the template in order, and every word that tells versions apart (one
+with a digit) exactly. The differences are returned.
 
 The template with the fewest differences claims its words of the block, then the one that saves more, then the longer one.
 
@@ -15,6 +16,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import cache
@@ -85,8 +87,6 @@ GAP = 4
 STRETCH, OVERLAP = 400, 120
 #: Share of a template's words that must stand in the block, in order.
 LEAST_WORDS = 0.9
-#: Share of the compressed size that a template must save to be looked at.
-LEAST_SAVING = 0.1
 _WORDS = re.compile(r"\w+(?:[-.]\w+)*")
 _HINT = re.compile(HINT)
 
@@ -142,7 +142,7 @@ def statements(text: str | None) -> Iterator[dict]:
     for line, lines, block in blocks(text or ""):
         seen: dict[str, dict] = {}
         for words in stretches(words_of(block)):
-            raw = " ".join(words).encode()
+            raw, often = " ".join(words).encode(), Counter(words)
             alone = len(plain.compress(raw))
             ranked = []
             for k, (name, template, compressor) in enumerate(_templates()):
@@ -150,8 +150,8 @@ def statements(text: str | None) -> Iterator[dict]:
                 ranked.append((-saving, -len(template), k, name, template))
             confirmed = []
             for saving, _, k, name, template in sorted(ranked):
-                if -saving < LEAST_SAVING * min(1.0, len(template) / max(len(words), 1)):
-                    break
+                if (Counter(template) & often).total() < LEAST_WORDS * len(template):
+                    continue
                 if found := _differences(template, words):
                     missing, added, used = found
                     confirmed.append((len(missing) + len(added), saving, -len(template), k, name, missing, added, used))

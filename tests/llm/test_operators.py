@@ -412,6 +412,21 @@ def test_license_versions_and_differences():
     assert [(s["license"], s["added"], s["exact"]) for s in changed] == [("GPL-2.0", ["whole"], False)]
 
 
+@pytest.mark.parametrize("name, wording", licenses.TEMPLATES)
+def test_statements_inside_license_prose(name, wording):
+    prose = [
+        "The software is distributed under terms that permit use by any person.",
+        "You may not use this work except in compliance with the copyright notice and the conditions stated above.",
+        "This file is subject to the public license of its author and may be redistributed in source and binary forms.",
+        "Permission is granted without warranty of any kind, express or implied.",
+        "All rights reserved by the copyright holder.",
+    ]
+    for k in range(len(prose) + 1):
+        for around in (prose, prose[::-1]):
+            found = licenses.statements("\n".join([*around[:k], wording, *around[k:]]))
+            assert (name, True) in [(s["license"], s["exact"]) for s in found]
+
+
 def test_license_scan_of_odd_rows(spark):
     line = "Licensed under CC BY-NC 4.0."
     docs = table(spark, [*ODD, (50, LONG + "\n" + line, "en", "a"), (51, line, None, None), (51, line, None, None)])
