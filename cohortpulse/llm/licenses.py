@@ -1,6 +1,8 @@
 """License statements found by conditional compression.
 
-Lines that use the vocabulary of licenses, with the lines between them, are candidate blocks. Each block is compressed with
+Lines that use the vocabulary of licenses, with the lines between them, are candidate blocks. A notice that is wrapped may
+begin and end on lines without that vocabulary, so ``OVERLAP`` words before and after a block are read with it. A statement
+belongs to the first block that it touches; words broken after a hyphen at a line's end are joined. Each block is compressed with
 Zstandard alone and with each template as raw dictionary; what a template saves ranks the templates. All whose words the
 block holds are confirmed word by word, however little they save: a short statement saves next to nothing in a block of
 license prose. The block must hold nearly all words of the template in order, and every word that tells versions apart (one
@@ -16,10 +18,12 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -78,8 +82,8 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-# What a line of a license statement mentions.
-HINT = r"(?i)licen[cs]e|copyright|permission|permitted|warrant|redistribut|public domain|creative commons|cc0|cc by"
+# What a license statement mentions; two words of a hint may stand on two lines.
+HINT = r"(?i)licen[cs]e|copyright|permission|permitted|warrant|redistribut|public\W+domain|creative\W+commons|cc0|cc\W+by"
 
 #: Lines without a hint that may lie between two of one block.
 GAP = 4
@@ -89,6 +93,7 @@ STRETCH, OVERLAP = 400, 120
 LEAST_WORDS = 0.9
 _WORDS = re.compile(r"\w+(?:[-.]\w+)*")
 _HINT = re.compile(HINT)
+_BROKEN = re.compile(r"\w-\s*$")
 
 
 def words_of(text: str) -> list[str]:
@@ -105,66 +110,150 @@ def _templates() -> list[tuple[str, list[str], zstandard.ZstdCompressor]]:
     return out
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """``first line, lines, text`` of each run of hinted lines, gaps of up to ``GAP`` lines included."""
+class Block(NamedTuple):
+    first: int
+    last: int
+    before: int  #: last line of the block before, or -1
+    words: list[str]  #: of the block and around it
+    lines: list[int]  #: where each word stands
+    core: tuple[int, int]  #: the words of the block itself
+
+    def parts(self) -> list[tuple[int, int]]:
+        """Ranges of words to compare: the block, and its beginning and end with what lies around."""
+        (a, b), n, inside = self.core, len(self.words), STRETCH - OVERLAP
+        return list(dict.fromkeys([(a, b), (0, min(n, a + inside)), (max(0, b - inside), n)]))
+
+    def owns(self, first: int, last: int) -> bool:
+        """Whether a statement from word ``first`` to word ``last`` touches this block and none before."""
+        return self.before < self.lines[first] <= self.last and self.lines[last] >= self.first
+
+
+def _hinted(text: str) -> list[int]:
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    found: set[int] = set()
+    for m in _HINT.finditer(text):
+        found.update(range(bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1)))
+    return sorted(found)
+
+
+def blocks(text: str) -> Iterator[Block]:
+    """Each run of hinted lines, gaps of up to ``GAP`` lines included."""
+    hinted = _hinted(text)
+    if not hinted:
+        return
     lines = text.split("\n")
-    hinted = [i for i, line in enumerate(lines) if _HINT.search(line)]
-    start = 0
+    line_words = cache(lambda i: words_of(lines[i]))
+    start, before = 0, -1
     for k, i in enumerate(hinted):
-        if k + 1 == len(hinted) or hinted[k + 1] - i > GAP + 1:
-            yield hinted[start], i - hinted[start] + 1, "\n".join(lines[hinted[start] : i + 1])
-            start = k + 1
+        if k + 1 < len(hinted) and hinted[k + 1] - i <= GAP + 1:
+            continue
+        held = [(w, j) for j in range(hinted[start], i + 1) for w in line_words(j)]
+        head: list[tuple[str, int]] = []
+        tail: list[tuple[str, int]] = []
+        j = hinted[start]
+        while j and len(head) < OVERLAP:
+            j -= 1
+            head = [(w, j) for w in line_words(j)[-OVERLAP:]] + head
+        j = i + 1
+        while j < len(lines) and len(tail) < OVERLAP:
+            tail += [(w, j) for w in line_words(j)[:OVERLAP]]
+            j += 1
+        words: list[str] = []
+        at: list[int] = []
+        core, came = [0, 0], i
+        for part, own in ((head, 0), (held, 1), (tail, 0)):
+            if own:
+                core[0] = len(words)
+            for w, j in part:
+                if words and came < j and _BROKEN.search(lines[came]):
+                    words[-1] += f"-{w}"
+                else:
+                    words.append(w)
+                    at.append(j)
+                came = j
+            if own:
+                core[1] = len(words)
+        yield Block(hinted[start], i, before, words, at, (core[0], core[1]))
+        start, before = k + 1, i
 
 
-def stretches(words: list[str]) -> Iterator[list[str]]:
-    for i in range(0, max(1, len(words) - OVERLAP), STRETCH - OVERLAP):
-        yield words[i : i + STRETCH]
+def stretches(first: int, end: int) -> Iterator[tuple[int, int]]:
+    for i in range(first, max(first + 1, end - OVERLAP), STRETCH - OVERLAP):
+        yield i, min(i + STRETCH, end)
 
 
 def _differences(template: list[str], words: list[str]) -> tuple[list[str], list[str], set[int]] | None:
-    """Words of the template that the block lacks, words inserted between them, and where the template's words stand;
-    None if it is not the template."""
+    """Words of the template that ``words`` lacks, words inserted between them, and where the template's words stand; None
+    if too few are there."""
     matches = [m for m in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
-    if not matches or sum(m.size for m in matches) < LEAST_WORDS * len(template):
-        return None
-    held = {i for m in matches for i in range(m.a, m.a + m.size)}
-    missing = [w for i, w in enumerate(template) if i not in held]
-    used = {i for m in matches for i in range(m.b, m.b + m.size)}
-    added = [words[i] for i in range(matches[0].b, matches[-1].b + matches[-1].size) if i not in used]
-    if any(any(c.isdigit() for c in w) for w in missing) or len(added) > len(template):
-        return None
-    return missing, added, used
+    while sum(m.size for m in matches) >= LEAST_WORDS * len(template):
+        held = {i for m in matches for i in range(m.a, m.a + m.size)}
+        missing = [w for i, w in enumerate(template) if i not in held]
+        used = {i for m in matches for i in range(m.b, m.b + m.size)}
+        added = [words[i] for i in range(matches[0].b, matches[-1].b + matches[-1].size) if i not in used]
+        if len(added) <= len(template):
+            return missing, added, used
+        # a common word far from the others is not part of the statement
+        gaps = [matches[k + 1].b - matches[k].b - matches[k].size for k in (0, -2)]
+        matches.pop(0 if gaps[0] >= gaps[1] else -1)
+    return None
+
+
+def _tells(missing: list[str]) -> bool:
+    """Whether the differences make it another license."""
+    return any(c.isdigit() for w in missing for c in w)
+
+
+def _found(
+    template: list[str], words: list[str], owns: Callable[[int, int], bool]
+) -> tuple[list[str], list[str], set[int]] | None:
+    """The differences of the template's statement in ``words``; the words around one that is another license, or another
+    block's, are searched for it too."""
+    open_ranges = [(0, len(words))]
+    while open_ranges:
+        a, b = open_ranges.pop()
+        if b - a < LEAST_WORDS * len(template) or not (found := _differences(template, words[a:b])):
+            continue
+        missing, added, used = found
+        used = {a + i for i in used}
+        first, last = min(used), max(used)
+        if not _tells(missing) and owns(first, last):
+            return missing, added, used
+        open_ranges += [(last + 1, b), (a, first)]
+    return None
 
 
 def statements(text: str | None) -> Iterator[dict]:
     """Every license stated in ``text``: its first line, its name, the saving and the differences in wording."""
     plain = zstandard.ZstdCompressor(level=3)
-    for line, lines, block in blocks(text or ""):
-        seen: dict[str, dict] = {}
-        for words in stretches(words_of(block)):
+    for block in blocks(text or ""):
+        confirmed = []
+        for a, b in dict.fromkeys(s for part in block.parts() for s in stretches(*part)):
+            words = block.words[a:b]
             raw, often = " ".join(words).encode(), Counter(words)
             alone = len(plain.compress(raw))
             ranked = []
             for k, (name, template, compressor) in enumerate(_templates()):
-                saving = (alone - len(compressor.compress(raw))) / alone
-                ranked.append((-saving, -len(template), k, name, template))
-            confirmed = []
+                if (Counter(template) & often).total() >= LEAST_WORDS * len(template):
+                    saving = (alone - len(compressor.compress(raw))) / alone
+                    ranked.append((-saving, -len(template), k, name, template))
             for saving, _, k, name, template in sorted(ranked):
-                if (Counter(template) & often).total() < LEAST_WORDS * len(template):
-                    continue
-                if found := _differences(template, words):
+                if found := _found(template, words, lambda i, j: block.owns(a + i, a + j)):
                     missing, added, used = found
+                    used = {a + i for i in used}
                     confirmed.append((len(missing) + len(added), saving, -len(template), k, name, missing, added, used))
-            claimed: set[int] = set()
-            for _, saving, _, _, name, missing, added, used in sorted(confirmed, key=lambda c: c[:4]):
-                if 2 * len(used & claimed) > len(used):
-                    continue  # these words already are another statement, with fewer differences
-                claimed |= used
-                if name not in seen or len(missing) + len(added) < len(seen[name]["missing"]) + len(seen[name]["added"]):
-                    seen[name] = {
-                        "first_line": line, "lines": lines, "license": name, "saving": -saving,
-                        "missing": missing, "added": added, "exact": not missing and not added,
-                    }
+        seen: dict[str, dict] = {}
+        claimed: set[int] = set()
+        for _, saving, _, _, name, missing, added, used in sorted(confirmed, key=lambda c: c[:4]):
+            if 2 * len(used & claimed) > len(used):
+                continue  # these words already are another statement, with fewer differences
+            claimed |= used
+            if name not in seen:  # the one with the fewest differences comes first
+                first = min(block.first, block.lines[min(used)])
+                seen[name] = {
+                    "first_line": first, "lines": max(block.last, block.lines[max(used)]) - first + 1, "license": name,
+                    "saving": -saving, "missing": missing, "added": added, "exact": not missing and not added,
+                }
         yield from seen.values()
 
 

@@ -1,6 +1,7 @@
 """Each operator against brute force on the smallest tables, and on odd rows."""
 
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -427,6 +428,31 @@ def test_statements_inside_license_prose(name, wording):
             assert (name, True) in [(s["license"], s["exact"]) for s in found]
 
 
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+@pytest.mark.parametrize("width", [24, 40, 72])
+@pytest.mark.parametrize("name, wording", licenses.TEMPLATES)
+def test_wrapped_statements(name, wording, width, prefix):
+    notice = "\n".join(prefix + line for line in textwrap.wrap(wording, width, break_long_words=False))
+    plain = "\n".join("This and that of the same author, or any later work." for _ in range(7))
+    for text in (notice, f"{plain}\n{notice}\n{plain}", f"{notice}\n{plain}\n{notice}"):
+        found = [(s["first_line"], s["lines"], s["license"], s["exact"]) for s in licenses.statements(text)]
+        lines = notice.count("\n") + 1
+        want = [(7 if text.startswith(plain) else 0, lines, name, True)]
+        if text.endswith(notice) and text != notice:
+            want.append((lines + 7, lines, name, True))
+        assert [(n, e) for _, _, n, e in found] == [(n, e) for _, _, n, e in want]
+        assert all(a >= c and a + b <= c + d for (a, b, *_), (c, d, *_) in zip(found, want))
+
+
+def test_a_wrapped_statement_touches_its_own_block_only():
+    head = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not"
+    found = list(licenses.statements(head + "\n" * 9 + "Released under the MIT License."))
+    assert [(s["first_line"], s["lines"], s["license"], s["exact"]) for s in found] == [
+        (0, 2, "MPL-2.0", True),
+        (10, 1, "MIT", True),
+    ]
+
+
 def test_license_scan_of_odd_rows(spark):
     line = "Licensed under CC BY-NC 4.0."
     docs = table(spark, [*ODD, (50, LONG + "\n" + line, "en", "a"), (51, line, None, None), (51, line, None, None)])
