@@ -5,8 +5,9 @@ begin and end on lines without that vocabulary, so ``OVERLAP`` words before and
 belongs to the first block that it touches; words broken after a hyphen at a line's end are joined. Each block is compressed with
 Zstandard alone and with each template as raw dictionary; what a template saves ranks the templates. All whose words the
 block holds are confirmed word by word, however little they save: a short statement saves next to nothing in a block of
-license prose. The block must hold nearly all words of the template in order, and every word that tells versions apart (one
-with a digit) exactly. The differences are returned.
+license prose. The block must hold nearly all words of the template in order; a word that tells versions apart (one with a
+digit) may not be missing, one that tells licenses apart (``NAMES``, ``PAIRS``) neither missing nor inserted. The differences are
+returned. Licenses that are not in ``TEMPLATES`` are not reported.
 
 The template with the fewest differences claims its words of the block, then the one that saves more, then the longer one.
 
@@ -34,6 +35,13 @@ from cohortpulse.llm.common import documents
 
 # Wording of public licenses and of the notices by which texts refer to them, by SPDX identifier.
 TEMPLATES = [
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
@@ -54,10 +62,28 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    (
+        "CC-BY-NC-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    (
+        "CC-BY-NC-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
         "GPL-3.0",
@@ -70,7 +96,27 @@ TEMPLATES = [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    ("LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
+    (
+        "LGPL-2.0",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library "
+        "General Public License as published by the Free Software Foundation; either version 2 of the License, or (at "
+        "your option) any later version.",
+    ),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at "
+        "your option) any later version.",
+    ),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version.",
+    ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     (
@@ -82,6 +128,11 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# Words, or parts of words with hyphens, by which licenses of like wording differ, alone or after another.
+NAMES = frozenset("affero lesser apache mozilla noncommercial sharealike noderivatives noderivs nc sa nd".split())
+PAIRS = frozenset(
+    [("gnu", "library"), ("non", "commercial"), ("share", "alike"), ("no", "derivatives"), ("no", "derivs")]
+)
 # What a license statement mentions; two words of a hint may stand on two lines.
 HINT = r"(?i)licen[cs]e|copyright|permission|permitted|warrant|redistribut|public\W+domain|creative\W+commons|cc0|cc\W+by"
 
@@ -182,43 +233,57 @@ def stretches(first: int, end: int) -> Iterator[tuple[int, int]]:
         yield i, min(i + STRETCH, end)
 
 
-def _differences(template: list[str], words: list[str]) -> tuple[list[str], list[str], set[int]] | None:
-    """Words of the template that ``words`` lacks, words inserted between them, and where the template's words stand; None
-    if too few are there."""
+def _names(words: list[str], i: int) -> bool:
+    """Whether the word at ``i`` tells licenses apart; so does any kind of attribution."""
+    own = words[i].split("-")
+    parts = [*words[i - 1].split("-")[-1:], *own] if i else own
+    return bool(NAMES.intersection(own) or PAIRS.intersection(zip(parts, parts[1:]))) or own[0] == "attribution" != words[i]
+
+
+def _differences(template: list[str], words: list[str]) -> tuple[list[str], list[str], set[int], bool] | None:
+    """Words of the template that ``words`` lacks, words inserted between them, where the template's words stand, and
+    whether the differences make it another license; None if too few are there."""
     matches = [m for m in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if m.size]
     while sum(m.size for m in matches) >= LEAST_WORDS * len(template):
         held = {i for m in matches for i in range(m.a, m.a + m.size)}
-        missing = [w for i, w in enumerate(template) if i not in held]
         used = {i for m in matches for i in range(m.b, m.b + m.size)}
-        added = [words[i] for i in range(matches[0].b, matches[-1].b + matches[-1].size) if i not in used]
+        missing = [i for i in range(len(template)) if i not in held]
+        added = [i for i in range(matches[0].b, matches[-1].b + matches[-1].size) if i not in used]
         if len(added) <= len(template):
-            return missing, added, used
+            other = any(any(map(str.isdigit, template[i])) or _names(template, i) for i in missing)
+            other = other or any(_names(words, i) for i in added)
+            return [template[i] for i in missing], [words[i] for i in added], used, other
         # a common word far from the others is not part of the statement
         gaps = [matches[k + 1].b - matches[k].b - matches[k].size for k in (0, -2)]
         matches.pop(0 if gaps[0] >= gaps[1] else -1)
     return None
 
 
-def _tells(missing: list[str]) -> bool:
-    """Whether the differences make it another license."""
-    return any(c.isdigit() for w in missing for c in w)
-
-
 def _found(
     template: list[str], words: list[str], owns: Callable[[int, int], bool]
 ) -> tuple[list[str], list[str], set[int]] | None:
     """The differences of the template's statement in ``words``; the words around one that is another license, or another
     block's, are searched for it too."""
+    wanted, least = Counter(template), LEAST_WORDS * len(template)
     open_ranges = [(0, len(words))]
     while open_ranges:
         a, b = open_ranges.pop()
-        if b - a < LEAST_WORDS * len(template) or not (found := _differences(template, words[a:b])):
+        if (wanted & Counter(words[a:b])).total() < least:
             continue
-        missing, added, used = found
-        used = {a + i for i in used}
-        first, last = min(used), max(used)
-        if not _tells(missing) and owns(first, last):
-            return missing, added, used
+        block = SequenceMatcher(None, template, words[a:b], autojunk=False).find_longest_match()
+        start = a + block.b - block.a
+        options = []
+        for around in (len(template), len(template) // 10):  # words alike in a neighbouring statement may lead astray
+            lo, hi = max(a, start - around), min(b, start + len(template) + around)
+            if found := _differences(template, words[lo:hi]):
+                missing, added, used, other = found
+                options.append((missing, added, {lo + i for i in used}, other))
+        first, last = a + block.b, a + block.b + block.size - 1
+        if options:
+            missing, added, used, other = min(options, key=lambda o: len(o[0]) + len(o[1]))
+            first, last = min(used), max(used)
+            if not other and owns(first, last):
+                return missing, added, used
         open_ranges += [(last + 1, b), (a, first)]
     return None
 

@@ -453,6 +453,46 @@ def test_a_wrapped_statement_touches_its_own_block_only():
     ]
 
 
+LONG_GNU = (
+    "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License"
+    " as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+)
+LONG_CC = "This work is licensed under a Creative Commons {0} 4.0 International License."
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (LONG_GNU.format("program", "", "2"), [("GPL-2.0", True)]),
+        (LONG_GNU.format("program", "", "3"), [("GPL-3.0", True)]),
+        (LONG_GNU.format("library", "", "2"), [("GPL-2.0", False)]),
+        (LONG_GNU.format("program", "Affero ", "3"), [("AGPL-3.0", True)]),
+        (LONG_GNU.format("library", "Library ", "2"), [("LGPL-2.0", True)]),
+        (LONG_GNU.format("library", "Lesser ", "2.1"), [("LGPL-2.1", True)]),
+        (LONG_GNU.format("library", "Lesser ", "3"), [("LGPL-3.0", True)]),
+        (LONG_GNU.format("program", "Lesser ", "3"), [("LGPL-3.0", False)]),
+        (LONG_GNU.format("program", "Affero ", "2"), []),
+        (LONG_CC.format("Attribution-NonCommercial-ShareAlike"), [("CC-BY-NC-SA-4.0", True)]),
+        (LONG_CC.format("Attribution-NonCommercial-NoDerivatives"), [("CC-BY-NC-ND-4.0", True)]),
+        (LONG_CC.format("Attribution-NoDerivatives"), [("CC-BY-ND-4.0", True)]),
+        (LONG_CC.format("Attribution Non Commercial"), []),
+        (LONG_CC.format("Attribution Share Alike"), []),
+        (LONG_CC.format("Attribution-Other"), []),
+        (LONG_CC.format("Attribution").replace("This work", "This whole work"), [("CC-BY-4.0", False)]),
+        ("This Source Code Form is subject to the terms of the Other Public License, v. 2.0.", []),
+    ],
+)
+def test_licenses_of_like_wording(text, want):
+    assert [(s["license"], s["exact"]) for s in licenses.statements(text)] == want
+
+
+def test_a_license_beside_one_of_like_wording():
+    affero, general = (LONG_GNU.format("program", x, "3") for x in ("Affero ", ""))
+    for text in (f"{affero}\n{general.replace('modify', 'change')}", f"{general.replace('modify', 'change')}\n{affero}"):
+        found = sorted((s["license"], s["exact"]) for s in licenses.statements(text))
+        assert found == [("AGPL-3.0", True), ("GPL-3.0", False)]
+
+
 def test_license_scan_of_odd_rows(spark):
     line = "Licensed under CC BY-NC 4.0."
     docs = table(spark, [*ODD, (50, LONG + "\n" + line, "en", "a"), (51, line, None, None), (51, line, None, None)])
