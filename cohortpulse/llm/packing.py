@@ -1,16 +1,18 @@
 """Packing documents into sequences by lexical retrieval.
 
 Tasks turn whole texts into ids, which are dealt to shards by a hash of the document and sorted there by a min-hash of
-their tokens, so that texts that share words lie together. A shard is packed block by block. Each block has an inverted
-index with BM25 weights of its tokens; the document that opens a window is its seed, and the unused documents that score
-best for the seed's most telling tokens follow it until the window is full. The last one is cut there, and what is left of
-it opens the next window. So all windows are full but the last of a block, which is cut into powers of two.
+their tokens, so that texts that share words lie together. Document frequencies and the mean length are counted over all
+documents. Each shard has one inverted index with BM25 weights of its tokens; the document that opens a window is its seed,
+and the unused documents of the shard that score best for all tokens of the seed follow it until the window is full. The
+last one is cut there, and what is left of it opens the next window. So all windows are full but the last of a shard, which
+is cut into powers of two.
 
-A block has at most ``BLOCK_TOKENS`` ids and ``BLOCK_DOCS`` documents (a longer document stands alone); no group of
-documents is gathered by key, so a source or group of copies that holds much of the corpus is spread over all shards.
+There are ``spark.sql.shuffle.partitions`` shards, and a task holds the ids and the index of one; work for a shard grows with
+the square of its documents, so larger tables ask for more partitions. No group of documents is gathered by key, so a source
+or group of copies that holds much of the corpus is spread over all shards.
 
 Cases: a null text is an empty one and packs as its closing id; repeated rows are packed each; a null ``doc_id`` is a
-document; equal scores go to the first document of the block; an empty table gives an empty result; other columns are not
+document; equal scores go to the first document of the shard; an empty table gives an empty result; other columns are not
 read.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,20 @@ from pyspark.sql import functions as F
 
 from cohortpulse.llm.common import U64, documents, mixed, pieces, shuffle_partitions
 from cohortpulse.llm.tokens import VOCABULARY, encoder
+from cohortpulse.sources.scratch import written
 
 LENGTH = 1024
 END = 0
-BLOCK_TOKENS = 2_000_000
-BLOCK_DOCS = 4096
-#: Tokens of a seed that are looked up, and neighbours returned for one look.
-QUERY_TOKENS = 12
+#: Ids are 16 bits wide.
+IDS = 1 << 16
+#: Ids of pieces returned at a time.
+BATCH_TOKENS = 2_000_000
+#: Neighbours returned for one look; a window that is not full then looks again.
 NEIGHBOURS = 16
+#: A token that this share of the documents have has its weights as one row of all documents.
+DENSE = 0.25
+#: The index drops used documents when no more than this share is unused.
+LEFT = 0.7
 K1, B = 1.2, 0.75
 PIECE = 2_000_000
 
@@ -65,49 +74,121 @@ def _tokenised(path: str):
     return run
 
 
+class Corpus(NamedTuple):
+    idf: np.ndarray  #: of every id
+    mean: float  #: length of a document
+
+    @classmethod
+    def of(cls, docs: int, tokens: int, number: np.ndarray) -> Corpus:
+        """From documents, their ids and how many documents have each id; the closing ids are not counted."""
+        return cls(np.log(1 + (docs - number + 0.5) / (number + 0.5)), tokens / max(docs, 1))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with each id; -1 has the documents and -2 the ids."""
+    number = np.zeros(IDS, np.int64)
+    docs = tokens = 0
+    for batch in batches:
+        for blob in batch.column("ids").to_pylist():
+            doc = np.frombuffer(blob, "<u2")[:-1]
+            number[np.unique(doc)] += 1
+            docs, tokens = docs + 1, tokens + len(doc)
+    seen = np.flatnonzero(number)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.r_[seen, -1, -2].astype(np.int64)), pa.array(np.r_[number[seen], docs, tokens].astype(np.int64))],
+        names=["token", "n"],
+    )
+
+
+def corpus(tokenised: DataFrame) -> Corpus:
+    """Counted over all documents; the driver gets a row for each id of the vocabulary at most."""
+    counts = tokenised.select("ids").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = {r["token"]: r["n"] for r in counts.collect()}
+    docs, tokens = found.pop(-1, 0), found.pop(-2, 0)
+    number = np.zeros(IDS, np.int64)
+    number[list(found)] = list(found.values())
+    return Corpus.of(docs, tokens, number)
+
+
 class _Index:
-    """Inverted index of a block: for each token its documents and their BM25 weights."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        docs = [d[:-1] for d in docs]  # every document has the closing id
-        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        pairs, often = np.unique(
-            (np.concatenate(docs).astype(np.int64) << 32) | np.repeat(np.arange(len(docs)), lengths), return_counts=True
-        )
-        token, self.doc = pairs >> 32, pairs & 0xFFFFFFFF
-        self.starts = np.flatnonzero(np.diff(token, prepend=-1))
-        self.ends = np.r_[self.starts[1:], len(token)]
-        number = self.ends - self.starts
-        idf = np.log(1 + (len(docs) - number + 0.5) / (number + 0.5))
-        entry = np.repeat(np.arange(len(number)), number)
-        norm = K1 * (1 - B + B * lengths[self.doc] / max(lengths.mean(), 1))
-        self.weight = idf[entry] * often * (K1 + 1) / (often + norm)
-        # the most telling tokens of each document, among those that another document has too
-        shared = np.flatnonzero(number[entry] > 1)
-        order = shared[np.lexsort((entry[shared], -self.weight[shared], self.doc[shared]))]
-        of = self.doc[order]
-        place = np.arange(len(order)) - np.searchsorted(of, of)
-        order = order[place < QUERY_TOKENS]
-        self.query = entry[order]
-        self.query_of = np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
+    """Inverted index of a shard: for each token its documents and their BM25 weights."""
+
+    def __init__(self, docs: list[np.ndarray], whole: Corpus | None = None):
+        found = [np.unique(d[:-1], return_counts=True) for d in docs]  # every document has the closing id
+        lengths = np.fromiter((len(d) - 1 for d in docs), np.int64, len(docs))
+        distinct = np.fromiter((len(t) for t, _ in found), np.int64, len(docs))
+        token = np.concatenate([t for t, _ in found]).astype(np.uint16)
+        often = np.concatenate([n for _, n in found]).astype(np.float32)
+        del found
+        number = np.bincount(token, minlength=IDS)
+        idf, mean = whole or Corpus.of(len(docs), int(lengths.sum()), number)
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), distinct)
+        norm = (K1 * (1 - B + B * lengths / max(mean, 1))).astype(np.float32)
+        weight = idf.astype(np.float32)[token] * often * np.float32(K1 + 1) / (often + norm[doc])
+        # all tokens of a document are asked for; one that no other document has leads nowhere
+        self.query = token
+        self.query_of = np.r_[0, np.cumsum(distinct)]
+        self.number = number
+        many = np.flatnonzero(number >= max(2, DENSE * len(docs)))
+        self.row = np.full(IDS, -1, np.int32)
+        self.row[many] = np.arange(len(many))
+        self.dense = np.zeros((len(many), len(docs)), np.float32)
+        row = self.row[token]
+        self.dense[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        token, doc, weight = token[row < 0], doc[row < 0], weight[row < 0]
+        order = np.argsort(token, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.ends = np.cumsum(np.bincount(token, minlength=IDS))
+        self.indexed = np.arange(len(docs))
         self.unused = np.ones(len(docs), bool)
+        self.asked, self.score = -1, np.zeros(len(docs))
+
+    def _shrunk(self) -> None:
+        """Used documents are found no more."""
+        stays = self.unused[self.indexed]
+        place = np.cumsum(stays, dtype=np.int32) - 1
+        kept = stays[self.doc]
+        self.ends = np.r_[0, np.cumsum(kept)][self.ends]
+        self.doc, self.weight = place[self.doc[kept]], self.weight[kept]
+        self.dense = self.dense[:, stays]
+        self.indexed = self.indexed[stays]
+        self.asked = -1
+
+    def _scored(self, seed: int) -> None:
+        tokens = self.query[self.query_of[seed] : self.query_of[seed + 1]]
+        tokens = tokens[self.number[tokens] > 1]
+        rows = self.row[tokens]
+        tokens = tokens[rows < 0].astype(np.int64)
+        ends = self.ends[tokens].tolist()
+        starts = np.where(tokens > 0, self.ends[tokens - 1], 0).tolist()
+        entries = [slice(a, b) for a, b in zip(starts, ends) if a < b]
+        self.asked, self.score = seed, np.zeros(len(self.indexed))
+        if entries:
+            doc = np.concatenate([self.doc[e] for e in entries])
+            self.score += np.bincount(doc, np.concatenate([self.weight[e] for e in entries]), len(self.score))
+        for row in rows[rows >= 0]:
+            self.score += self.dense[row]
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """The best unused documents for a seed, best first; none if no telling token leads to one."""
-        score = np.zeros(len(self.unused))
-        for q in self.query[self.query_of[seed] : self.query_of[seed + 1]]:
-            a, b = self.starts[q], self.ends[q]
-            score[self.doc[a:b]] += self.weight[a:b]
-        found = np.flatnonzero((score > 0) & self.unused)
+        """The best unused documents for a seed, best first; none if no unused document has a token of it."""
+        if np.count_nonzero(self.unused) < LEFT * len(self.indexed):
+            self._shrunk()
+        if seed != self.asked:
+            self._scored(seed)
+        found = np.flatnonzero((self.score > 0) & self.unused[self.indexed])
+        score = self.score[found]
         if len(found) > NEIGHBOURS:
-            best = np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]
-            found = found[best]
-        return found[np.lexsort((found, -score[found]))]
+            best = score >= np.partition(score, -NEIGHBOURS)[-NEIGHBOURS]
+            found, score = found[best], score[best]
+        return self.indexed[found[np.lexsort((found, -score))][:NEIGHBOURS]]
 
 
-def pack(docs: list[np.ndarray], length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
-    """Sequences of ``(document, start, length)``; every id of every document lies in exactly one."""
-    index = _Index(docs)
+def pack(
+    docs: list[np.ndarray], length: int = LENGTH, whole: Corpus | None = None
+) -> list[list[tuple[int, int, int]]]:
+    """Sequences of ``(document, start, length)``; every id of every document lies in exactly one. Without ``whole`` the
+    documents are all there are."""
+    index = _Index(docs, whole)
     sequences: list[list[tuple[int, int, int]]] = []
     room, following = 0, 0
 
@@ -160,39 +241,37 @@ def _powers(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int, int, i
     return out
 
 
-def _packed(length: int, with_ids: bool):
+def _packed(length: int, with_ids: bool, whole: Corpus | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        ids, docs, tokens = [], [], 0
-
-        def flushed() -> pa.RecordBatch:
-            nonlocal sequence
-            rows = []
-            for parts in pack(docs, length):
-                offset = 0
-                for doc, start, n in parts:
-                    code = docs[doc][start : start + n].astype("<u4").tobytes()
-                    rows.append(
-                        (ids[doc], start, n, zlib.crc32(code), len(docs[doc]), sequence, offset, code if with_ids else None)
-                    )
-                    offset += n
-                sequence += 1
-            columns = list(zip(*rows))
+        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        ids: list[int | None] = []
+        docs: list[np.ndarray] = []
+        for batch in batches:
+            ids += batch.column("doc_id").to_pylist()
+            docs += [np.frombuffer(blob, "<u2") for blob in batch.column("ids").to_pylist()]
+        if not docs:
+            return
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             types = [pa.int64()] * 7 + [pa.binary()]
             names = [c.split()[0] for c in _PIECES.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-        for batch in batches:
-            for doc_id, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                doc = np.frombuffer(blob, "<u2")
-                if docs and (tokens + len(doc) > BLOCK_TOKENS or len(docs) == BLOCK_DOCS):
-                    yield flushed()
-                    ids, docs, tokens = [], [], 0
-                ids.append(doc_id)
-                docs.append(doc)
-                tokens += len(doc)
-        if docs:
-            yield flushed()
+        rows, held = [], 0
+        for sequence, parts in enumerate(pack(docs, length, whole), first):
+            offset = 0
+            for doc, start, n in parts:
+                code = docs[doc][start : start + n].astype("<u4").tobytes()
+                rows.append(
+                    (ids[doc], start, n, zlib.crc32(code), len(docs[doc]), sequence, offset, code if with_ids else None)
+                )
+                offset += n
+            held += offset
+            if held >= BATCH_TOKENS:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return run
 
@@ -201,8 +280,9 @@ def sequences(docs: DataFrame, length: int = LENGTH, path: str = VOCABULARY, wit
     """One row per piece of a document of ``docs`` (``doc_id, text``); ``ids`` are little-endian unsigned 32-bit."""
     shards = shuffle_partitions(docs.sparkSession)
     tokenised = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenised(path), _IDS)
+    tokenised = written(tokenised, "packing-ids")
     dealt = tokenised.repartition(shards, F.xxhash64("doc_id", "lexical")).sortWithinPartitions("lexical", "doc_id", "ids")
-    return dealt.mapInArrow(_packed(length, with_ids), _PIECES)
+    return dealt.mapInArrow(_packed(length, with_ids, corpus(tokenised)), _PIECES)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,6 +59,62 @@ def test_neighbours_share_rare_words():
     assert not len(index.neighbours(3))
 
 
+def test_a_seed_asks_with_all_its_tokens():
+    docs = [np.array([*x, 0], "<u2") for x in (range(1, 21), range(1, 13), [20, 30], [20, 31], [40])]
+    index = packing._Index(docs)
+    index.unused[[0, 1]] = False
+    assert list(index.neighbours(0)) == [2, 3]
+
+
+def brute_scores(docs, seed, whole):
+    """BM25 of every document for the distinct tokens of the seed, as the formula reads."""
+    out = []
+    for d in docs:
+        d = list(d[:-1])
+        norm = packing.K1 * (1 - packing.B + packing.B * len(d) / max(whole.mean, 1))
+        shared = set(docs[seed][:-1]) & set(d)
+        out.append(sum(whole.idf[t] * d.count(t) * (packing.K1 + 1) / (d.count(t) + norm) for t in shared))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), max_size=30), min_size=2, max_size=25), st.integers(0, 99))
+def test_neighbours_are_the_best_of_all(docs, number):
+    dice = random.Random(number)
+    docs = [np.array([*d, 0], "<u2") for d in docs]
+    whole = packing.Corpus.of(1000, 9000, np.arange(packing.IDS) % 1000)
+    index = packing._Index(docs, whole)
+    while index.unused.any():
+        seed = dice.randrange(len(docs))
+        index.unused[seed] = False
+        score = brute_scores(docs, seed, whole)
+        found = index.neighbours(seed)
+        open_ = [i for i in range(len(docs)) if index.unused[i] and score[i] > 0]
+        assert set(found) <= set(open_) and len(found) == min(len(open_), packing.NEIGHBOURS)
+        best = sorted((score[i] for i in open_), reverse=True)
+        assert np.allclose([score[i] for i in found], best[: len(found)], rtol=1e-4)
+
+
+def test_a_shard_has_one_index():
+    """Two documents that alone share a word meet in a window, however many lie between them."""
+    n = 5000
+    docs = [np.array([100 + i, 0], "<u2") for i in range(n)]
+    docs[0] = docs[-1] = np.array([7, 7, 0], "<u2")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([d.tobytes() for d in docs])], ["doc_id", "ids"])
+    rows = [r for b in packing._packed(32, False)(iter([batch])) for r in b.to_pylist()]
+    assert {r["sequence_id"] for r in rows if r["doc_id"] in (0, n - 1)} == {0}
+
+
+def test_document_frequencies_are_those_of_all_documents(spark):
+    docs = [np.array(d, "<u2") for d in ([5, 5, 6, 0], [6, 0], [0], [7, 0], [6, 7, 0])]
+    rows = [(i, 0, bytearray(d.tobytes())) for i, d in enumerate(docs)]
+    found = packing.corpus(spark.createDataFrame(rows, packing._IDS).repartition(3))
+    number = np.zeros(packing.IDS)
+    number[[5, 6, 7]] = 1, 3, 2
+    assert found.mean == 7 / 5
+    assert np.allclose(found.idf, packing.Corpus.of(5, 7, number).idf)
+
+
 def checked(rows, texts):
     """Pieces against ids of the whole text; texts by doc_id."""
     by_doc, by_sequence = {}, {}
