@@ -229,7 +229,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose text has a language: others have no letter to read.
+    """The rows of ``docs``, with their columns, whose text has a language: others have no letter to read. Where no language
+    was learned, the rows with a letter.
 
     Only texts go to Python and only verdicts come back.
     """
@@ -237,7 +238,10 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("boolean")
     def has_language(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([x != UNKNOWN for x in predict(list(texts), model)[0]], dtype=bool)
+            if model.languages:
+                yield pd.Series([x != UNKNOWN for x in predict(list(texts), model)[0]], dtype=bool)
+            else:
+                yield pd.Series([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
 
     return docs.where(has_language(F.col("text")))
 

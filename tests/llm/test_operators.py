@@ -327,6 +327,12 @@ def test_language_spans_and_odd_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(odd, unlearned).collect()} == {"und"}
 
 
+def test_documents_stay_where_no_language_is_learned(spark):
+    odd = table(spark, ODD).withColumn("lang", F.lit(None).cast("string"))
+    rows = language_id.identified(odd, language_id.fitted(odd)).collect()
+    assert sorted(r["doc_id"] or 0 for r in rows) == [0, 5, 6, 7, 7, 8, 9]
+
+
 def brute_viterbi(scores, switch):
     """All labelings, best total; the first in order among equals is not asked for, only the total."""
     best = {k: s for k, s in enumerate(scores[0])}
