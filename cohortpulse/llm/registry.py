@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from cohortpulse.llm import (
+    alignment,
     exact_dedup,
     language_id,
     licenses,
+    line_dedup,
     mixing,
     near_dedup,
     neighbours,
@@ -26,9 +28,12 @@ LLM_QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_alignment": alignment.op12_alignment,
 }
 
 LLM_ORACLE = {
     "op1_source_mix": mixing.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
 }
