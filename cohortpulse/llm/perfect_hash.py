@@ -20,7 +20,7 @@ def _bit(high: np.ndarray, low: np.ndarray, level: int, size: int) -> np.ndarray
     """Both halves count, so that digests with one half in common part at some level."""
     with np.errstate(over="ignore"):
         seed = U64(2 * level + 1) * _SEED
-        return (mixed(high ^ (low * (seed | U64(1)))) % U64(size)).astype(np.int64)
+        return (mixed(mixed(high + seed) ^ (low * (seed | U64(1)))) % U64(size)).astype(np.int64)
 
 
 def built(high: np.ndarray, low: np.ndarray) -> list[np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cohortpulse.llm import (
     alignment,
+    conversations,
     exact_dedup,
     language_id,
     licenses,
@@ -30,10 +31,12 @@ LLM_QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_line_dedup": line_dedup.op11_line_dedup,
     "op12_alignment": alignment.op12_alignment,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 LLM_ORACLE = {
     "op1_source_mix": mixing.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op11_line_dedup": line_dedup.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
