@@ -73,8 +73,7 @@ def _first_runs(shards: int):
             entries = np.zeros(len(batch), ENTRY)
             entries["digest"] = np.frombuffer(b"".join(batch["digest"]), ">u8").reshape(-1, 4)
             entries["norm"], entries["points"] = batch["norm"], batch["points"]
-            entries["null"] = batch["doc_id"].isna()
-            entries["doc"] = batch["doc_id"].fillna(0).astype("int64")
+            entries["null"], entries["doc"] = batch["no_id"], batch["known_id"]
             entries["row"], entries["rows"] = batch["row"], 1
             entries = _reduced(entries)
             shard = ((entries["digest"][:, 0] >> np.uint64(33)) * np.uint64(shards)) >> np.uint64(31)
@@ -169,7 +168,9 @@ def groups(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """``keep_digest, keep_id, keep_row, group_size`` of every different text among ``measured`` rows."""
     spark = rows.sparkSession
     shards = shuffle_partitions(spark)
-    runs = rows.select("run", "doc_id", "digest", "points", "norm", "row").mapInPandas(_first_runs(shards), _RUN)
+    # A column of ids with a null among them would reach pandas as floating point.
+    ids = F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("known_id")
+    runs = rows.select("run", *ids, "digest", "points", "norm", "row").mapInPandas(_first_runs(shards), _RUN)
     last = rows.agg(F.max("run")).first()[0] or 0
     for _ in range(max(1, math.ceil(math.log(last + 1, fan_in) - 1e-9))):
         runs = (

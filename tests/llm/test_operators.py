@@ -102,6 +102,15 @@ def test_mix_of_odd_rows(spark):
 # --- exact dedup ------------------------------------------------------------------------------------------------------
 
 
+def test_exact_dedup_keeps_large_ids_beside_null_ones(spark):
+    large = 2**53 + 1
+    docs = table(spark, [(i, t, "en", "a") for i, t in [(large, "x y"), (None, "q"), (large + 2, "xy"), (large + 3, "z")]])
+    rows = exact_dedup.decisions(docs.coalesce(1)).collect()
+    assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in rows) == [
+        (0, 0, 1, True), (large, large, 2, True), (large + 2, large, 2, False), (large + 3, large + 3, 1, True)
+    ]
+
+
 def test_exact_dedup_of_odd_rows(spark):
     docs = table(spark, ODD).repartition(5)
     rows = exact_dedup.decisions(docs).collect()
