@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,14 +49,35 @@ def bit_text(c: Column) -> Column:
     return lookup(strip(c.cast("string")), {"Yes": "1", "No": "0", "true": "1", "false": "0", "1": "1", "0": "0"})
 
 
+def aside(c: Column, change: Callable[[Column], Column]) -> Column:
+    """``change(c)`` as a call out of the generated code, for what few rows need: inlined, its expressions would make the
+    code of the whole stage too long to be compiled, and slow down the rows that never get there."""
+    return F.when(c.isNotNull(), F.transform(F.array(c), change)[0])
+
+
+def _plain_int(text: Column) -> Column:
+    """The value of a text that is just how an integer is printed, else null."""
+    value = text.try_cast("int")
+    return F.when(value.cast("string") == text, value)
+
+
 def whole_number(c: Column) -> Column:
     """An integer written as such or with a zero fraction ('60', '60.0'); null for any other text."""
-    text = F.trim(c.cast("string"))
+    text = c.cast("string")
+    return F.coalesce(_plain_int(text), aside(text, _zero_fraction))
+
+
+def _zero_fraction(c: Column) -> Column:
+    text = F.trim(c)
     return F.when(text.rlike(r"^[+-]?[0-9]{1,18}(\.0*)?$"), F.split_part(text, F.lit("."), F.lit(1)).try_cast("int"))
 
 
 def _number(text: Column) -> Column:
     """Decimal notation only: a cast alone also takes type suffixes, as in '95d', and names of special values."""
+    return F.coalesce(_plain_int(text).cast("double"), aside(text, _decimal))
+
+
+def _decimal(text: Column) -> Column:
     plain = F.trim(text)
     return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
 

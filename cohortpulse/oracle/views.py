@@ -70,7 +70,7 @@ VIEWS = {
         SELECT {_key("o_custkey")} AS Student_ID,
                CASE WHEN o_orderkey % 303 = 0 THEN NULL
                  ELSE {SUBJECTS}[((o_orderkey // 3) % 6 + 1)::INT] END AS Subject,
-               (40 + {CENTS} % 71)::INT AS Exam_Score,
+               (CASE WHEN o_custkey % 13 = 0 THEN 40 + {CENTS} % 13 ELSE 40 + {CENTS} % 71 END)::INT AS Exam_Score,
                CASE o_orderkey % 5 WHEN 0 THEN '-5'
                  WHEN 1 THEN (50 + o_orderkey % 51)::VARCHAR
                  WHEN 2 THEN (50 + o_orderkey % 51)::VARCHAR || '%'

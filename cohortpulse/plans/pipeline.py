@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import partial
 
@@ -11,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortpulse.plans.clean import clean_tables
 from cohortpulse.plans.features import student_summary
-from cohortpulse.sources.files import bronze_tables, write_csv, write_parquet
-from cohortpulse.sources.schemas import EXPORTED, SILVER
+from cohortpulse.sources.files import bronze_tables, read_clean_csv, write_bucketed, write_csv, write_parquet
+from cohortpulse.sources.published import all_at_once, publish, published_paths
+from cohortpulse.sources.schemas import EXPORTED, KEY, SILVER
 from cohortpulse.sources.tables import Tables
 
 # Facts that dashboards read by month; the others have no month column.
@@ -34,7 +33,7 @@ def write_silver(clean: Tables, root: str) -> Tables:
 
     What follows then scans columns of typed files instead of parsing and cleaning text again.
     """
-    _all_at_once(
+    all_at_once(
         [partial(write_parquet, clean[name], f"{root}/{name}", BY_MONTH.get(name, ())) for name in SILVER]
     )
     spark = clean["students"].sparkSession
@@ -47,20 +46,33 @@ def write_silver(clean: Tables, root: str) -> Tables:
     return Tables(reopen)
 
 
-def _all_at_once(jobs: Iterable[Callable[[], None]]) -> None:
-    """Independent jobs submitted together: the last tasks of one do not leave the executors idle."""
-    with ThreadPoolExecutor() as pool:
-        for job in [pool.submit(job) for job in jobs]:
-            job.result()
+def write_by_student(clean: Tables, root: str, buckets: int, prefix: str) -> Tables:
+    """The five clean tables as catalog tables ``<prefix><name>`` below ``root``, in ``buckets`` buckets by student.
+
+    Sums per student and joins of such sums then take place where the rows lie, without a shuffle. A fact of which one
+    student holds more than a few buckets' worth is stored unbucketed: its bucket would be read by one task, while a sum
+    per student shuffles one row per task and student only.
+    """
+    all_at_once(
+        [partial(write_bucketed, clean[name], f"{prefix}{name}", KEY, buckets, f"{root}/{name}") for name in SILVER]
+    )
+    spark = clean["students"].sparkSession
+    return Tables(lambda name: spark.table(f"{prefix}{_stored_as(name)}").select(*clean[name].columns))
+
+
+def export_csv(tables: Tables, root: str) -> str:
+    """The five dashboard inputs as CSV folders below ``root``, published together; see :func:`exported`."""
+    return publish({name: tables[name] for name in EXPORTED}, root, write_csv, ".csv")
 
 
-def export_csv(tables: Tables, root: str) -> None:
-    """The five dashboard inputs as CSV folders below ``root``, replacing earlier ones."""
-    _all_at_once([partial(write_csv, tables[name], f"{root}/{name}.csv") for name in EXPORTED])
+def exported(spark: SparkSession, root: str) -> Tables:
+    """The typed tables of the last complete export below ``root``."""
+    paths = published_paths(spark, root)
+    return Tables(lambda name: read_clean_csv(spark, paths[name], name))
 
 
 def run(spark: SparkSession, raw_root: str, out_root: str, as_of: date, **csv_options) -> Tables:
-    """CSVs under ``raw_root`` -> Parquet under ``out_root/silver`` -> CSVs under ``out_root``."""
+    """CSVs under ``raw_root`` -> Parquet under ``out_root/silver`` -> CSVs published under ``out_root``."""
     clean = clean_tables(bronze_tables(spark, raw_root, **csv_options), as_of)
     silver = with_summary(write_silver(clean, f"{out_root}/silver"))
     write_parquet(silver["student_summary"], f"{out_root}/silver/student_summary")

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortpulse.operators.quality import contents_report
 from cohortpulse.plans import audit, clean, dashboard, features, story
-from cohortpulse.plans.pipeline import export_csv, with_summary, write_silver
-from cohortpulse.sources.files import read_bronze_csv, read_clean_csv, write_csv
+from cohortpulse.plans.pipeline import export_csv, exported, with_summary, write_silver
+from cohortpulse.sources.files import read_bronze_csv, write_csv
 from cohortpulse.sources.fixtures import derived_tables
 from cohortpulse.sources.schemas import EXPORTED
 from cohortpulse.sources.scratch import scratch_path
@@ -144,7 +144,8 @@ def export_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "export")
     silver = write_silver(clean_of(spark, sf_dir), f"{root}/silver")  # cleaned once, for its file and for the summary
     export_csv(with_summary(silver), root)
-    return contents_report({name: read_clean_csv(spark, f"{root}/{name}.csv", name) for name in EXPORTED})
+    found = exported(spark, root)
+    return contents_report({name: found[name] for name in EXPORTED})
 
 
 QUERIES: dict[str, Query] = {

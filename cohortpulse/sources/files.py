@@ -18,6 +18,7 @@ NA_VALUES = (
     "NaN", "None", "n/a", "nan", "null",
 )
 _SURPLUS = "fields beyond the header"
+_ODD = "row of another number of fields"
 
 
 def encoded_lines(c: Column) -> Column:
@@ -58,12 +59,46 @@ def read_bronze_csv(
     wide = reader.schema(fields).csv(path)
     refused = F.raise_error(F.concat(F.lit(f"{path}: a row has more fields than the header; the first too many: "), F.col(_SURPLUS)))
     wide = wide.where(F.when(F.col(_SURPLUS).isNotNull(), refused).otherwise(F.lit(True)))
+    return _bronze_columns(wide, table, na_values, encoded)
+
+
+def _bronze_columns(
+    df: DataFrame, table: str, na_values: Sequence[str] = NA_VALUES, encoded: bool = False
+) -> DataFrame:
     columns = [F.col(f"`{name}`") for name in BRONZE[table]]
     if na_values:
         columns = [F.when(~c.isin(list(na_values)), c) for c in columns]
     if encoded:
         columns = [decoded_lines(c) for c in columns]
-    return wide.select(*[c.alias(n) for c, n in zip(columns, BRONZE[table])])
+    return df.select(*[c.alias(n) for c, n in zip(columns, BRONZE[table])])
+
+
+def split_bronze_csv(spark: SparkSession, path: str, table: str, **options) -> tuple[DataFrame, DataFrame]:
+    """The readable rows of a raw CSV, as :func:`read_bronze_csv` gives them, and the others: ``file, key, text``.
+
+    A row is unreadable when it has more fields than the header: its values cannot be told to columns. Only rows whose
+    number of fields differs at all are looked at again. Neither part ends the query; counting the second says how much of
+    the first is missing. For files without line ends inside quotes.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("encoding", "UTF-8")
+    header = reader.csv(path).columns
+    missing = set(BRONZE[table]) - set(header)
+    if missing:
+        raise ValueError(f"{path}: no column {sorted(missing)}; found {header}")
+    fields = [StructField(c, StringType()) for c in header]
+    # Rows are told by their number of fields, so all of each is parsed, whatever columns are asked for.
+    whole = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", _ODD)
+    marked = whole.schema(StructType([*fields, StructField(_ODD, StringType())])).csv(path)
+    names = ", ".join(f"`{c}` string" for c in (*header, _SURPLUS))
+    again = F.from_csv(F.col(f"`{_ODD}`"), names, {"escape": '"'})
+    # Spark refuses queries of such rows that look at no column of the file.
+    seen = F.concat_ws("", F.col(f"`{header[0]}`"), F.col(f"`{_ODD}`")) != ""
+    surplus = F.col(f"`{_ODD}`").isNotNull() & seen & again[_SURPLUS].isNotNull()
+    readable = _bronze_columns(marked.where(~surplus), table, **options)
+    unreadable = marked.where(surplus).select(
+        F.col("_metadata.file_path").alias("file"), F.col(f"`{header[0]}`").alias("key"), F.col(f"`{_ODD}`").alias("text")
+    )
+    return readable, unreadable
 
 
 def bronze_tables(spark: SparkSession, root: str, **options) -> Tables:
@@ -92,6 +127,21 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str, most: float = 4.0) -> None:
+    """A catalog table over Parquet files below ``path``, one file for each of ``buckets`` ranges of hashes of ``key``.
+
+    Tables with the same key and number of buckets are summed by the key and joined on it without a shuffle. If one key
+    holds more rows than ``most`` buckets do on average, the table is stored without buckets.
+    """
+    per_key = df.groupBy(key).agg(F.count("*").alias("n"))
+    largest, rows = per_key.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).head()
+    if largest > most * max(1.0, rows / buckets):
+        df.write.mode("overwrite").option("path", path).saveAsTable(name)
+        return
+    dealt = df.repartition(buckets, key)
+    dealt.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
     """A Parquet folder; ``partition_by`` columns become folders and prune later scans.
 

@@ -101,7 +101,8 @@ def _performance(files: Tables) -> DataFrame:
     return files["orders"].select(
         _key(F.col("o_custkey")).alias(KEY),
         F.when(n % 303 != 0, subject).alias("Subject"),
-        (_cents() % 71 + 40).cast("int").alias("Exam_Score"),
+        # one student in thirteen is weak, so that questions about failing students have answers
+        F.when(F.col("o_custkey") % 13 == 0, _cents() % 13 + 40).otherwise(_cents() % 71 + 40).cast("int").alias("Exam_Score"),
         percent.alias("Homework_Completion_%"),
         F.concat(F.lit("note "), n.cast("string")).alias("Teacher_Comments"),
     )

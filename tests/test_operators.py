@@ -94,7 +94,7 @@ def test_group_median_with_a_rough_bracket(spark):
     rng = random.Random(9)
     pairs = [("g", rng.choice([0.5, rng.gauss(0, 1e6)])) for _ in range(3001)]
     df = spark.createDataFrame(pairs, "g string, v double").repartition(7)
-    assert dict(rows(group_median(df, "g", "v", accuracy=8))) == _naive_median(pairs)
+    assert dict(rows(group_median(df, "g", "v", sketch=8, margin=0.0))) == _naive_median(pairs)
 
 
 def test_fill_builds_without_running_a_job(spark):

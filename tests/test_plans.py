@@ -5,8 +5,11 @@ import re
 import pytest
 
 from cohortpulse.operators.median import group_median
+from cohortpulse.plans.features import student_summary
+from cohortpulse.plans.pipeline import write_by_student
 from cohortpulse.plans.registry import QUERIES, clean_of
-from tests.helpers import final_plan, first_plan
+from cohortpulse.sources.schemas import SILVER
+from tests.helpers import final_plan, first_plan, rows
 
 # Queries that write files first; their plans only read them back.
 WRITING = {"csv_scan_homework", "export_clean"}
@@ -93,7 +96,7 @@ def test_executive_reads_no_messages(spark, sf_dir):
 
 def test_counting_rows_computes_no_medians(spark, sf_dir):
     plan = first_plan(QUERIES["clean_shapes"](spark, sf_dir))
-    assert "percentile_approx" not in plan and plan.count("FileScan") <= 7
+    assert "kll_sketch" not in plan and plan.count("FileScan") <= 7
 
 
 def test_quality_report_reads_facts_once(spark, sf_dir):
@@ -109,6 +112,20 @@ def test_only_needed_columns_are_read(spark, sf_dir):
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"o_totalprice:double"}
 
 
-def test_median_counts_values_once(spark, sf_dir):
+def test_median_reads_and_counts_values_once(spark, sf_dir):
     parsed = clean_of(spark, sf_dir)["parsed_performance"]
-    assert "ReusedExchange" in final_plan(group_median(parsed, "Subject", "CompletionRate"))
+    plan = final_plan(group_median(parsed, "Subject", "CompletionRate"))
+    assert "ReusedExchange" in plan and plan.count("FileScan") == 1
+    # the filled table: its rows with a rate, its rows without, and the medians
+    assert final_plan(clean_of(spark, sf_dir)["performance"]).count("FileScan") == 3
+
+
+def test_tables_stored_by_student_are_summed_and_joined_where_they_lie(spark, sf_dir, tmp_path, no_broadcast):
+    clean = clean_of(spark, sf_dir)
+    stored = write_by_student(clean, str(tmp_path / "by_student"), 8, "by_student_")
+    found = student_summary(stored)
+    assert "hashpartitioning(Student_ID" not in first_plan(found) and "SortMergeJoin" in first_plan(found)
+    assert sorted(rows(found), key=str) == sorted(rows(student_summary(clean)), key=str)
+    assert "Exchange" not in first_plan(found).split("SortMergeJoin", 1)[1]
+    for name in SILVER:
+        spark.sql(f"DROP TABLE by_student_{name}")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from cohortpulse.plans import features
 from cohortpulse.plans.clean import clean_attendance
-from cohortpulse.plans.pipeline import run, write_silver
+from cohortpulse.plans.pipeline import export_csv, exported, run, with_summary, write_silver
 from cohortpulse.plans.registry import clean_of
-from cohortpulse.sources.files import read_bronze_csv, read_clean_csv, write_csv, write_parquet
+from cohortpulse.plans import audit
+from cohortpulse.sources.files import read_bronze_csv, read_clean_csv, split_bronze_csv, write_bucketed, write_csv, write_parquet
+from cohortpulse.sources.published import manifest, publish, published_nulls, published_paths
 from cohortpulse.sources.fixtures import derived_tables
 from cohortpulse.sources.schemas import BRONZE, EXPORTED, SILVER
 from cohortpulse.sources.scratch import scratch_path, written
@@ -103,8 +105,9 @@ def test_pipeline_from_csv_to_csv(spark, sf_dir, tmp_path):
         write_csv(raw[name], f"{tmp_path}/raw/{name}.csv")
     run(spark, f"{tmp_path}/raw", f"{tmp_path}/out", AS_OF)
     expected = clean_of(spark, sf_dir)
+    last = exported(spark, f"{tmp_path}/out")
     for name in EXPORTED:
-        found = read_clean_csv(spark, f"{tmp_path}/out/{name}.csv", name)
+        found = last[name]
         wanted = features.student_summary(expected) if name == "student_summary" else expected[name]
         assert found.columns == wanted.columns
         assert found.dtypes == wanted.dtypes
@@ -128,3 +131,57 @@ def test_cleaning_runs_on_a_stream(spark, sf_dir, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(rows(spark.table("cleaned")), key=str) == sorted(rows(clean_of(spark, sf_dir)["attendance"]), key=str)
+
+
+def test_a_failed_export_leaves_the_last_one_readable(spark, tmp_path):
+    root = str(tmp_path / "out")
+    assert manifest(spark, root).count() == 0
+    with pytest.raises(FileNotFoundError):
+        published_paths(spark, root)
+    good = {name: spark.createDataFrame([(i, "x"), (i, None)], "i int, t string") for i, name in enumerate("abcde")}
+    first = publish(good, root, write_csv, ".csv")
+    broken = spark.range(10).select(F.raise_error(F.lit("no third output")).cast("string").alias("t"))
+    with pytest.raises(Exception, match="no third output"):
+        publish({**{n: good[n].limit(1) for n in "ab"}, "c": broken, "d": good["d"], "e": good["e"]}, root, write_csv, ".csv")
+    paths = published_paths(spark, root)
+    assert set(paths) == set(good) and all(first in p for p in paths.values())
+    assert all(spark.read.option("header", True).csv(p).count() == 2 for p in paths.values())
+    second = publish({n: df.limit(1) for n, df in good.items()}, root, write_csv, ".csv")
+    assert second > first and {second} == {r["version"] for r in manifest(spark, root).collect()}
+    assert all(spark.read.option("header", True).csv(p).count() == 1 for p in published_paths(spark, root).values())
+
+
+def test_nulls_are_counted_while_outputs_are_written(spark, sf_dir, tmp_path):
+    tables = clean_of(spark, sf_dir)
+    export_csv(with_summary(tables), str(tmp_path))
+    found = {tuple(r) for r in published_nulls(spark, str(tmp_path)).collect()}
+    report = audit.quality_report(derived_tables(spark, sf_dir), tables).collect()
+    assert found == {tuple(r) for r in report if r["table"] in EXPORTED} and found
+
+
+def test_unreadable_rows_are_set_aside(spark, tmp_path):
+    lines = ["Student_ID,Date,Subject,Attendance_Status", "S1,2024-01-01,Math,Late", "S2,d,Math,Late,more", "S3,d",
+             'S4,d,"a,b",NA', 'S5,d,"x,y",Late,"1,2",3,4', ",,,", "S6,d,Math,Late,"]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    readable, unreadable = split_bronze_csv(spark, str(tmp_path / "a.csv"), "attendance")
+    assert sorted(rows(readable), key=str) == sorted(
+        [("S1", "2024-01-01", "Math", "Late"), ("S3", "d", None, None), ("S4", "d", "a,b", None), (None,) * 4, ("S6", "d", "Math", "Late")],
+        key=str,
+    )
+    found = unreadable.collect()
+    assert {(r["key"], r["text"]) for r in found} == {("S2", lines[2]), ("S5", lines[5])}
+    assert all(r["file"].endswith("a.csv") for r in found) and unreadable.count() == 2
+    assert readable.select("Student_ID").where("Student_ID = 'S2'").count() == 0
+    strict = read_bronze_csv(spark, str(tmp_path / "a.csv"), "attendance")
+    with pytest.raises(Exception, match="more fields than the header"):
+        strict.collect()
+
+
+def test_a_hot_key_is_stored_without_buckets(spark, tmp_path):
+    even = spark.range(400).select((F.col("id") % 50).alias("k"), "id")
+    hot = spark.range(400).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    for name, df in (("stored_even", even), ("stored_hot", hot)):
+        write_bucketed(df, name, "k", 16, str(tmp_path / name))
+        assert sorted(rows(spark.table(name))) == sorted(rows(df))
+        assert ("hashpartitioning(k" in first_plan(spark.table(name).groupBy("k").count())) == (name == "stored_hot")
+        spark.sql(f"DROP TABLE {name}")
