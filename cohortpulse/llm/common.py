@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortpulse.sources.scratch import written
+
 #: Words are runs of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters between words.
@@ -26,6 +28,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def staying(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stay by ``decided``: ``doc_id, text_hash, stays`` of every row, where
+    ``text_hash`` is ``xxhash64(text)``.
+
+    Those that go are few: their keys are written and excluded, and where their files are small enough to be broadcast the
+    texts are neither shuffled nor sorted. Repeated rows share a key; of those that stay one is taken.
+    """
+    keys = decided.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"), F.max("stays").alias("stays"))
+    keys = keys.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("told_id"), F.col("text_hash").alias("told_hash"), "stays")
+    keys = written(keys, "told-rows")
+    own = fresh(docs, "hash_of_text")
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    same = (F.col(own) == F.col("told_hash")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("told_id"))
+    rest = keyed.join(keys, same, "left_anti")
+    repeated = keyed.join(keys.where("stays"), same, "left_semi").dropDuplicates([own, "doc_id"])
+    return rest.unionByName(repeated).drop(own)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

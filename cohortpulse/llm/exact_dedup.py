@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import documents, fresh, shuffle_partitions, without_spaces
+from cohortpulse.llm.common import documents, shuffle_partitions, staying, without_spaces
 from cohortpulse.sources.scratch import written
 
 FAN_IN = 8
@@ -149,7 +149,7 @@ def _winners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``row, run, doc_id, digest, points, norm`` of every row; written once, so that ``row`` is settled."""
+    """``row, run, doc_id, digest, points, norm, text_hash`` of every row; written once, so that ``row`` is settled."""
     norm = without_spaces(F.col("text"))
     return written(
         docs.select(
@@ -159,6 +159,7 @@ def measured(docs: DataFrame) -> DataFrame:
             F.unhex(F.sha2(norm, 256)).alias("digest"),
             F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("points"),
             F.length(norm).cast("long").alias("norm"),
+            F.xxhash64("text").alias("text_hash"),
         ),
         "exact-rows",
     )
@@ -200,22 +201,10 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. Texts move once, by the key of the rows that stay."""
+    """The rows of ``docs`` that stay, with their columns."""
     rows = measured(docs)
-    kept = rows.join(groups(rows).select("keep_row"), F.col("row") == F.col("keep_row"))
-    digest, points = fresh(docs, "dedup_digest"), fresh(docs, "dedup_points")
-    kept = kept.select(
-        F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"), F.col("points").alias("kept_points")
-    )
-    keyed = docs.withColumn(digest, F.unhex(F.sha2(without_spaces(F.col("text")), 256))).withColumn(
-        points, F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    )
-    same = (
-        (F.col(digest) == F.col("kept_digest"))
-        & (F.col(points) == F.col("kept_points"))
-        & keyed["doc_id"].cast("long").eqNullSafe(F.col("kept_id"))
-    )
-    return keyed.join(kept, same, "left_semi").dropDuplicates([digest, points, "doc_id"]).drop(digest, points)
+    told = rows.join(groups(rows), F.col("digest") == F.col("keep_digest"))
+    return staying(docs, told.select("doc_id", "text_hash", (F.col("row") == F.col("keep_row")).alias("stays")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

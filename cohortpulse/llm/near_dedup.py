@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import U64, documents, fresh, mixed, pieces, shuffle_partitions
+from cohortpulse.llm.common import U64, documents, mixed, pieces, shuffle_partitions, staying
 from cohortpulse.llm.components import components
 from cohortpulse.llm.shingles import shingle_sets
 from cohortpulse.sources.scratch import written
@@ -313,11 +313,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns, of which one of each component stays."""
-    kept = groups(docs).where("first").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    text_hash = fresh(docs, "near_hash")
-    keyed = docs.withColumn(text_hash, F.xxhash64("text"))
-    same = (F.col(text_hash) == F.col("kept_hash")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("kept_id"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates([text_hash, "doc_id"]).drop(text_hash)
+    return staying(docs, groups(docs).select("doc_id", "text_hash", F.col("first").alias("stays")))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
