@@ -262,6 +262,16 @@ def _labels(classes: DataFrame, links: DataFrame | None) -> DataFrame:
     return written(joined.select("node", F.coalesce("component", "node").alias("label")), "near-labels")
 
 
+def _joined(classes: DataFrame, labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``node, label`` after ``new`` links. What was found before enters as one link from each node to its label, which the
+    star steps leave as it is where nothing new meets it."""
+    new = written(new.select("u", "v"), "near-links")
+    if new.isEmpty():
+        return labels
+    stars = labels.where("node != label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    return _labels(classes, stars.union(new))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``row, doc_id, text_hash, n, component_id, first`` of every row: ``first`` marks one row of each component.
 
@@ -288,13 +298,11 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = keyed.join(wanted, same).select("set_node", "text", "minima").dropDuplicates(["set_node"])
     sets = written(sets, "near-sets", "zstd")
 
-    links, labels = None, _labels(classes, None)
+    labels = _labels(classes, None)
     for turn in range(ROUNDS):
         new = _confirmed(_leaders(bands, None if turn == 0 else labels, turn), sets)
-        links = written(new if links is None else links.union(new), "near-links")
-        labels = _labels(classes, links)
-    links = links.union(_open_links(bands, labels, sets))
-    labels = _labels(classes, links)
+        labels = _joined(classes, labels, new)
+    labels = _joined(classes, labels, _open_links(bands, labels, sets))
 
     labelled = classes.join(labels.withColumnRenamed("node", "member"), F.col("node") == F.col("member"))
     labelled = labelled.select(*[F.col(c).alias(f"{c}_of") for c in by_set], "label")
