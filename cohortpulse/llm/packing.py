@@ -7,9 +7,10 @@ and the unused documents of the shard that score best for all tokens of the seed
 last one is cut there, and what is left of it opens the next window. So all windows are full but the last of a shard, which
 is cut into powers of two.
 
-There are ``spark.sql.shuffle.partitions`` shards, and a task holds the ids and the index of one; work for a shard grows with
-the square of its documents, so larger tables ask for more partitions. No group of documents is gathered by key, so a source
-or group of copies that holds much of the corpus is spread over all shards.
+A task reads its documents in the order of the min-hashes and closes a shard at ``SHARD_TOKENS`` ids (a longer document
+is held whole), so that it holds the ids and the index of one shard, whatever the size of the table, and all work grows in
+proportion to it: within a shard work grows with the square of the documents. No group of documents is gathered by key, so a
+source or group of copies that holds much of the corpus is spread over all tasks.
 
 Cases: a null text is an empty one and packs as its closing id; repeated rows are packed each; a null ``doc_id`` is a
 document; equal scores go to the first document of the shard; an empty table gives an empty result; other columns are not
@@ -36,16 +37,21 @@ LENGTH = 1024
 END = 0
 #: Ids are 16 bits wide.
 IDS = 1 << 16
+#: Ids of a shard.
+SHARD_TOKENS = 2_000_000
 #: Ids of pieces returned at a time.
 BATCH_TOKENS = 2_000_000
 #: Neighbours returned for one look; a window that is not full then looks again.
 NEIGHBOURS = 16
 #: A token that this share of the documents have has its weights as one row of all documents.
-DENSE = 0.25
+DENSE = 0.5
 #: The index drops used documents when no more than this share is unused.
-LEFT = 0.7
+LEFT = 0.85
 K1, B = 1.2, 0.75
-PIECE = 2_000_000
+#: Characters tokenised together: the more, the fewer words are encoded again.
+PIECE = 8_000_000
+#: Hash of every id; a document's least one sorts it.
+_LEXICAL = (mixed(np.arange(1, IDS + 1, dtype=U64)) >> U64(1)).astype(np.int64)
 
 _IDS = "doc_id long, lexical long, ids binary"
 _PIECES = (
@@ -60,7 +66,7 @@ def _tokenised(path: str):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in pieces(np.array([len(t) for t in texts]), PIECE):
                 ids = [np.append(x, np.uint16(END)) for x in encode(texts[a:b])]
-                lexical = [int(mixed(np.unique(x).astype(U64) + U64(1)).min() >> U64(1)) for x in ids]
+                lexical = [int(_LEXICAL[x].min()) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
@@ -74,6 +80,15 @@ def _tokenised(path: str):
     return run
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids of a document in order, and how often each occurs."""
+    if not len(ids):
+        return ids, np.empty(0, np.int64)
+    ordered = np.sort(ids, kind="stable")  # by radix, as 16 bits allow
+    starts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    return ordered[starts], np.diff(starts, append=len(ids))
+
+
 class Corpus(NamedTuple):
     idf: np.ndarray  #: of every id
     mean: float  #: length of a document
@@ -91,7 +106,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column("ids").to_pylist():
             doc = np.frombuffer(blob, "<u2")[:-1]
-            number[np.unique(doc)] += 1
+            number[_distinct(doc)[0]] += 1
             docs, tokens = docs + 1, tokens + len(doc)
     seen = np.flatnonzero(number)
     yield pa.RecordBatch.from_arrays(
@@ -114,7 +129,7 @@ class _Index:
     """Inverted index of a shard: for each token its documents and their BM25 weights."""
 
     def __init__(self, docs: list[np.ndarray], whole: Corpus | None = None):
-        found = [np.unique(d[:-1], return_counts=True) for d in docs]  # every document has the closing id
+        found = [_distinct(d[:-1]) for d in docs]  # every document has the closing id
         lengths = np.fromiter((len(d) - 1 for d in docs), np.int64, len(docs))
         distinct = np.fromiter((len(t) for t, _ in found), np.int64, len(docs))
         token = np.concatenate([t for t, _ in found]).astype(np.uint16)
@@ -122,7 +137,7 @@ class _Index:
         del found
         number = np.bincount(token, minlength=IDS)
         idf, mean = whole or Corpus.of(len(docs), int(lengths.sum()), number)
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), distinct)
+        doc = np.repeat(np.arange(len(docs)), distinct)
         norm = (K1 * (1 - B + B * lengths / max(mean, 1))).astype(np.float32)
         weight = idf.astype(np.float32)[token] * often * np.float32(K1 + 1) / (often + norm[doc])
         # all tokens of a document are asked for; one that no other document has leads nowhere
@@ -137,8 +152,8 @@ class _Index:
         self.dense[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
         token, doc, weight = token[row < 0], doc[row < 0], weight[row < 0]
         order = np.argsort(token, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.ends = np.cumsum(np.bincount(token, minlength=IDS))
+        self.doc, self.weight = doc[order], weight[order].astype(float)
+        self.bounds = np.r_[0, np.cumsum(np.bincount(token, minlength=IDS))]
         self.indexed = np.arange(len(docs))
         self.unused = np.ones(len(docs), bool)
         self.asked, self.score = -1, np.zeros(len(docs))
@@ -146,9 +161,9 @@ class _Index:
     def _shrunk(self) -> None:
         """Used documents are found no more."""
         stays = self.unused[self.indexed]
-        place = np.cumsum(stays, dtype=np.int32) - 1
+        place = np.cumsum(stays) - 1
         kept = stays[self.doc]
-        self.ends = np.r_[0, np.cumsum(kept)][self.ends]
+        self.bounds = np.r_[0, np.cumsum(kept)][self.bounds]
         self.doc, self.weight = place[self.doc[kept]], self.weight[kept]
         self.dense = self.dense[:, stays]
         self.indexed = self.indexed[stays]
@@ -158,16 +173,14 @@ class _Index:
         tokens = self.query[self.query_of[seed] : self.query_of[seed + 1]]
         tokens = tokens[self.number[tokens] > 1]
         rows = self.row[tokens]
-        tokens = tokens[rows < 0].astype(np.int64)
-        ends = self.ends[tokens].tolist()
-        starts = np.where(tokens > 0, self.ends[tokens - 1], 0).tolist()
-        entries = [slice(a, b) for a, b in zip(starts, ends) if a < b]
+        tokens, rows = tokens[rows < 0].astype(np.int64), rows[rows >= 0]
+        starts, sizes = self.bounds[tokens], self.bounds[tokens + 1] - self.bounds[tokens]
+        before = np.cumsum(sizes) - sizes
+        entries = np.arange(sizes.sum()) + np.repeat(starts - before, sizes)
         self.asked, self.score = seed, np.zeros(len(self.indexed))
-        if entries:
-            doc = np.concatenate([self.doc[e] for e in entries])
-            self.score += np.bincount(doc, np.concatenate([self.weight[e] for e in entries]), len(self.score))
-        for row in rows[rows >= 0]:
-            self.score += self.dense[row]
+        self.score += np.bincount(self.doc[entries], self.weight[entries], len(self.score))
+        if len(rows):
+            self.score += self.dense[rows].sum(axis=0)
 
     def neighbours(self, seed: int) -> np.ndarray:
         """The best unused documents for a seed, best first; none if no unused document has a token of it."""
@@ -241,37 +254,49 @@ def _powers(sequence: list[tuple[int, int, int]]) -> list[list[tuple[int, int, i
     return out
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Ids and tokens of consecutive documents, up to ``SHARD_TOKENS`` in all or one document."""
+    ids: list[int | None] = []
+    docs: list[np.ndarray] = []
+    held = 0
+    for batch in batches:
+        for doc_id, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+            doc = np.frombuffer(blob, "<u2")
+            if docs and held + len(doc) > SHARD_TOKENS:
+                yield ids, docs
+                ids, docs, held = [], [], 0
+            ids.append(doc_id)
+            docs.append(doc)
+            held += len(doc)
+    if docs:
+        yield ids, docs
+
+
 def _packed(length: int, with_ids: bool, whole: Corpus | None = None):
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64()] * 7 + [pa.binary()]
+        names = [c.split()[0] for c in _PIECES.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        ids: list[int | None] = []
-        docs: list[np.ndarray] = []
-        for batch in batches:
-            ids += batch.column("doc_id").to_pylist()
-            docs += [np.frombuffer(blob, "<u2") for blob in batch.column("ids").to_pylist()]
-        if not docs:
-            return
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int64()] * 7 + [pa.binary()]
-            names = [c.split()[0] for c in _PIECES.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-        rows, held = [], 0
-        for sequence, parts in enumerate(pack(docs, length, whole), first):
-            offset = 0
-            for doc, start, n in parts:
-                code = docs[doc][start : start + n].astype("<u4").tobytes()
-                rows.append(
-                    (ids[doc], start, n, zlib.crc32(code), len(docs[doc]), sequence, offset, code if with_ids else None)
-                )
-                offset += n
-            held += offset
-            if held >= BATCH_TOKENS:
+        sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        for ids, docs in _shards(batches):
+            rows, held = [], 0
+            for parts in pack(docs, length, whole):
+                offset = 0
+                for doc, start, n in parts:
+                    code = docs[doc][start : start + n].astype("<u4").tobytes()
+                    rows.append(
+                        (ids[doc], start, n, zlib.crc32(code), len(docs[doc]), sequence, offset, code if with_ids else None)
+                    )
+                    offset += n
+                sequence += 1
+                held += offset
+                if held >= BATCH_TOKENS:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
                 yield batch_of(rows)
-                rows, held = [], 0
-        if rows:
-            yield batch_of(rows)
 
     return run
 

@@ -30,6 +30,26 @@ def test_ids_of_any_text(text):
     assert list(encoder().ids([text])[0]) == reference(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\f\tab.1'é漢\x1c\x85\xa0\u2003"), max_size=25), max_size=8))
+def test_ids_of_texts_encoded_together(texts):
+    found = encoder().ids(texts)
+    assert [list(x) for x in found] == [reference(t) for t in texts]
+
+
+def test_shards_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 10)
+    sizes = [4, 6, 3, 25, 1, 9, 2]
+    docs = [np.arange(n, dtype="<u2") for n in sizes]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([d.tobytes() for d in docs])], ["doc_id", "ids"])
+    found = list(packing._shards(iter([batch.slice(0, 3), batch.slice(3)])))
+    assert [ids for ids, _ in found] == [[0, 1], [2], [3], [4, 5], [6]]
+    assert [list(d) for _, part in found for d in part] == [list(d) for d in docs]
+    rows = [r for b in packing._packed(8, False)(iter([batch])) for r in b.to_pylist()]
+    assert sum(r["length"] for r in rows) == sum(sizes)
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 40), max_size=60), min_size=1, max_size=25))
 def test_every_id_in_one_piece_and_no_padding(docs):
