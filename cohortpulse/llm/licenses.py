@@ -3,13 +3,13 @@
 Lines that use the vocabulary of licenses, with the lines between them, are candidate blocks. A notice that is wrapped may
 begin and end on lines without that vocabulary, so ``OVERLAP`` words before and after a block are read with it. A statement
 belongs to the first block that it touches; words broken after a hyphen at a line's end are joined. Each block is compressed with
-Zstandard alone and with each template as raw dictionary; what a template saves ranks the templates. All whose words the
-block holds are confirmed word by word, however little they save: a short statement saves next to nothing in a block of
-license prose. The block must hold nearly all words of the template in order; a word that tells versions apart (one with a
-digit) may not be missing, one that tells licenses apart (``NAMES``, ``PAIRS``) neither missing nor inserted. The differences are
-returned. Licenses that are not in ``TEMPLATES`` are not reported.
+Zstandard alone and with each template as raw dictionary. What a template saves, as a share of what it saves on its own
+wording, picks and ranks the templates: below ``LEAST_SHARE`` a template is out, whatever words the block holds. The others are
+confirmed word by word. The block must hold nearly all words of the template in order; a word that tells versions apart (one
+with a digit) may not be missing, one that tells licenses apart (``NAMES``, ``PAIRS``) neither missing nor inserted. The
+differences are returned. Licenses that are not in ``TEMPLATES`` are not reported.
 
-The template with the fewest differences claims its words of the block, then the one that saves more, then the longer one.
+The template with the fewest differences claims its words of the block, then the one with the larger share, then the longer one.
 
 Cases: a null or empty text has no statement; a text may have several; repeated rows are reported alike; long lines are
 read whole, in overlapping stretches; an empty table gives an
@@ -142,6 +142,10 @@ GAP = 4
 STRETCH, OVERLAP = 400, 120
 #: Share of a template's words that must stand in the block, in order.
 LEAST_WORDS = 0.9
+#: Share of a template's saving on its own wording that it must save on the block or on a window of it.
+LEAST_SHARE = 0.05
+#: Words of a window.
+WINDOW = 24
 _WORDS = re.compile(r"\w+(?:[-.]\w+)*")
 _HINT = re.compile(HINT)
 _BROKEN = re.compile(r"\w-\s*$")
@@ -151,16 +155,60 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+class Template(NamedTuple):
+    license: str
+    words: list[str]
+    compressor: zstandard.ZstdCompressor
+    own: int  #: bytes it saves on its own wording
+
+
+@cache
+def _plain() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=3)
+
+
 @cache
-def _templates() -> list[tuple[str, list[str], zstandard.ZstdCompressor]]:
+def _templates() -> list[Template]:
     out = []
     for name, text in TEMPLATES:
         raw = " ".join(words_of(text)).encode()
         dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append((name, words_of(text), zstandard.ZstdCompressor(level=3, dict_data=dictionary)))
+        compressor = zstandard.ZstdCompressor(level=3, dict_data=dictionary)
+        own = len(_plain().compress(raw)) - len(compressor.compress(raw))
+        out.append(Template(name, words_of(text), compressor, own))
     return out
 
 
+def _saved(words: list[str], template: Template) -> tuple[float, float]:
+    """What the template saves on ``words``: as a share of its own saving, and of the words compressed alone."""
+    raw = " ".join(words).encode()
+    alone = len(_plain().compress(raw))
+    saved = alone - len(template.compressor.compress(raw))
+    return saved / max(template.own, 1), saved / alone
+
+
+def ranked(words: list[str]) -> list[tuple[float, float, int]]:
+    """``(share, saving, template)`` of the templates that save enough on ``words``, best first.
+
+    In much text that shares words with it, a short statement saves little; a template below the floor is tried on
+    overlapping windows of ``WINDOW`` words, or of twice its length, and has the best of their shares.
+    """
+    often = Counter(words)
+    out = []
+    for k, template in enumerate(_templates()):
+        own = template.words
+        if (Counter(own) & often).total() < LEAST_WORDS * len(own):
+            continue  # cannot be confirmed
+        share, saving = _saved(words, template)
+        if share < LEAST_SHARE:
+            wide = max(WINDOW, 2 * len(own))
+            windows = (words[i : i + wide] for i in range(0, max(1, len(words) - wide // 2), wide // 2))
+            share, saving = max(_saved(w, template) for w in windows)
+        if share >= LEAST_SHARE:
+            out.append((share, saving, k))
+    return sorted(out, key=lambda r: (-r[0], -len(_templates()[r[2]].words), r[2]))
+
+
 class Block(NamedTuple):
     first: int
     last: int
@@ -290,26 +338,20 @@ def _found(
 
 def statements(text: str | None) -> Iterator[dict]:
     """Every license stated in ``text``: its first line, its name, the saving and the differences in wording."""
-    plain = zstandard.ZstdCompressor(level=3)
     for block in blocks(text or ""):
         confirmed = []
         for a, b in dict.fromkeys(s for part in block.parts() for s in stretches(*part)):
             words = block.words[a:b]
-            raw, often = " ".join(words).encode(), Counter(words)
-            alone = len(plain.compress(raw))
-            ranked = []
-            for k, (name, template, compressor) in enumerate(_templates()):
-                if (Counter(template) & often).total() >= LEAST_WORDS * len(template):
-                    saving = (alone - len(compressor.compress(raw))) / alone
-                    ranked.append((-saving, -len(template), k, name, template))
-            for saving, _, k, name, template in sorted(ranked):
+            for share, saving, k in ranked(words):
+                name, template, *_ = _templates()[k]
                 if found := _found(template, words, lambda i, j: block.owns(a + i, a + j)):
                     missing, added, used = found
                     used = {a + i for i in used}
-                    confirmed.append((len(missing) + len(added), saving, -len(template), k, name, missing, added, used))
+                    differences = len(missing) + len(added)
+                    confirmed.append((differences, -share, -len(template), k, saving, name, missing, added, used))
         seen: dict[str, dict] = {}
         claimed: set[int] = set()
-        for _, saving, _, _, name, missing, added, used in sorted(confirmed, key=lambda c: c[:4]):
+        for *_, saving, name, missing, added, used in sorted(confirmed, key=lambda c: c[:4]):
             if 2 * len(used & claimed) > len(used):
                 continue  # these words already are another statement, with fewer differences
             claimed |= used
@@ -317,7 +359,7 @@ def statements(text: str | None) -> Iterator[dict]:
                 first = min(block.first, block.lines[min(used)])
                 seen[name] = {
                     "first_line": first, "lines": max(block.last, block.lines[max(used)]) - first + 1, "license": name,
-                    "saving": -saving, "missing": missing, "added": added, "exact": not missing and not added,
+                    "saving": saving, "missing": missing, "added": added, "exact": not missing and not added,
                 }
         yield from seen.values()
 

@@ -508,6 +508,37 @@ def test_a_license_beside_one_of_like_wording():
         assert found == [("AGPL-3.0", True), ("GPL-3.0", False)]
 
 
+def test_licenses_are_picked_by_compression(monkeypatch):
+    """Templates whose dictionaries save nothing are not confirmed, whatever the words."""
+
+    class Constant:
+        def compress(self, raw):
+            return b"x" * 50
+
+    text = "Released under the MIT License.\n\n\n\n\n\n\nLicensed under CC BY 4.0."
+    assert [s["license"] for s in licenses.statements(text)] == ["MIT", "CC-BY-4.0"]
+    same = [t._replace(compressor=Constant()) for t in licenses._templates()]
+    monkeypatch.setattr(licenses, "_templates", lambda: same)
+    monkeypatch.setattr(licenses, "_plain", Constant)
+    assert not list(licenses.statements(text))
+
+
+def test_the_template_that_saves_most_ranks_first():
+    words = licenses.words_of("x y z Released under the MIT License. a b c")
+    best = [licenses._templates()[k] for _, _, k in licenses.ranked(words)]
+    assert (best[0].license, " ".join(best[0].words)) == ("MIT", "released under the mit license")
+
+
+def test_a_short_statement_beside_long_ones():
+    gpl, lgpl, short = (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        dict((n, t) for n, t in licenses.TEMPLATES if len(t) > 150)["LGPL-2.0"],
+        "Licensed under CC BY 4.0.",
+    )
+    found = {s["license"] for s in licenses.statements("\n".join([gpl, lgpl, short]))}
+    assert found == {"AGPL-3.0", "LGPL-2.0", "CC-BY-4.0"}
+
+
 def test_license_scan_of_odd_rows(spark):
     line = "Licensed under CC BY-NC 4.0."
     docs = table(spark, [*ODD, (50, LONG + "\n" + line, "en", "a"), (51, line, None, None), (51, line, None, None)])
