@@ -331,3 +331,32 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, list_distinct([array_to_string(words[i : i + 4], ' ') FOR i IN
+    range(1, CASE WHEN len(words) = 0 THEN 1 ELSE greatest(len(words) - 3, 2) END)]) AS shingles
+  FROM d
+), n AS (
+  SELECT doc_id, len(shingles) AS size FROM s
+), e AS MATERIALIZED (
+  SELECT doc_id, unnest(shingles) AS shingle FROM s
+), shared AS (
+  SELECT a.doc_id AS one, b.doc_id AS other, count(*) AS common
+  FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT one, other FROM shared JOIN n a ON a.doc_id = one JOIN n b ON b.doc_id = other
+  WHERE 100 * common >= 75 * (a.size + b.size - common)
+), reach AS (
+  SELECT doc_id, doc_id AS reached FROM n
+  UNION
+  SELECT doc_id, other FROM reach JOIN links ON one = reached
+)
+SELECT doc_id, size AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept
+FROM reach JOIN n USING (doc_id) GROUP BY doc_id, size
+"""

@@ -6,8 +6,8 @@ widens all windows (virtual rehashing: no table is rebuilt), and only rows that
 lies in the windows of at least ``COLLISIONS`` lines is verified with its true distance. A block is done with a query when
 ``k`` verified vectors lie within the radius, so nothing depends on a bucket size and no bucket has a cap.
 
-Queries visit every block, so a block's answer is its own best ``k``; the best ``k`` of all blocks are the answer. A
-vector at the radius is found with a probability above 0.98 (binomial tail of 64 lines at 0.68 each, 35 needed).
+Queries visit every block, so a block's answer is its own best ``k``; the best ``k`` of all blocks are the answer. Blocks
+of up to ``4 k`` vectors, and windows that have outgrown the doubles, are verified whole, which loses nothing. A vector at the radius is found with a probability above 0.98 (binomial tail of 64 lines at 0.68 each, 35 needed).
 
 Cases: vectors that are null, zero, of length 0 or hold null or non-finite components, and rows without id, take no part;
 vectors of different length are never compared; rows with one id count once (the smallest vector); equal distances go to
@@ -77,6 +77,8 @@ class _Block:
             if found == wanted or found >= k and np.count_nonzero(near[verified] <= radius) >= k:
                 return self._best(np.flatnonzero(verified), query, k)
             radius *= GROWTH
+            if not radius < np.inf:
+                return self._best(np.flatnonzero(others), query, k)
 
     def _best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         score = _distances(self.vectors[rows], query)
@@ -151,7 +153,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame:
     )
     found = (
         members.unionByName(questions)
-        .repartition(blocks, "dim", "block")
+        .repartitionById(blocks, "block")
         .sortWithinPartitions("dim", "block", "query", "vec_id", "embedding")
         .mapInArrow(_searcher(k), _FOUND)
     )

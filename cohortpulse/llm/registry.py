@@ -36,7 +36,10 @@ LLM_QUERIES = {
 
 LLM_ORACLE = {
     "op1_source_mix": mixing.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op8_near_dedup": near_dedup.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
     "op11_line_dedup": line_dedup.ORACLE,
     "op13_conversation_repair": conversations.ORACLE,
 }

@@ -227,3 +227,26 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir), with_text=False).drop("kept", "removed")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), w AS (
+  SELECT row, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place,
+    unnest([array_to_string(words[i : i + 19], ' ') FOR i IN range(1, len(words) + 1)]) AS follow, len(words) AS n
+  FROM d
+), later AS (
+  SELECT row, place FROM (
+    SELECT row, place, rank() OVER (PARTITION BY follow ORDER BY doc_id, place) AS nth FROM w WHERE place + 19 <= n
+  ) WHERE nth > 1
+), k AS (
+  SELECT w.row, word, w.place,
+    coalesce(max(later.place) OVER (PARTITION BY w.row ORDER BY w.place) >= w.place - 19, FALSE) AS removed
+  FROM w LEFT JOIN later ON w.row = later.row AND w.place = later.place
+)
+SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (removed) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT removed), '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.row = k.row GROUP BY d.row, d.doc_id
+"""
