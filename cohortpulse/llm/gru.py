@@ -14,10 +14,10 @@ from cohortpulse.llm.common import U64, mixed
 from cohortpulse.llm.words import ngram_buckets
 
 WORD_BUCKETS = 1 << 15
-CHAR_BUCKETS = 1 << 14
-CHAR_SIZES = (3, 4)
-WIDTH = 6  # of the embedding of a word, and of that of its characters
-HIDDEN = 6
+CHAR_BUCKETS = 1 << 16
+CHAR_SIZES = (3, 4, 5, 6)
+WIDTH = 12  # of the embedding of a word, and of that of its characters
+HIDDEN = 8
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -26,7 +26,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Net:
-    word: np.ndarray  # (WORD_BUCKETS + 1, WIDTH); row 0 is padding
+    word: np.ndarray  # (WORD_BUCKETS + 1, WIDTH); row 0 is padding and stays zero
     char: np.ndarray  # (CHAR_BUCKETS, WIDTH)
     wx: list[np.ndarray]  # for each direction (2 * WIDTH, 3 * HIDDEN)
     wh: list[np.ndarray]  # (HIDDEN, 3 * HIDDEN)
@@ -38,10 +38,8 @@ class Net:
 def new_net(seed: int) -> Net:
     rng = np.random.default_rng(seed)
     normal = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
-    word = normal(0.05, WORD_BUCKETS + 1, WIDTH)
-    word[0] = 0
     return Net(
-        word,
+        np.zeros((WORD_BUCKETS + 1, WIDTH), np.float32),  # words never trained on say nothing
         normal(0.05, CHAR_BUCKETS, WIDTH),
         [normal(0.3, 2 * WIDTH, 3 * HIDDEN) for _ in range(2)],
         [normal(0.2, HIDDEN, 3 * HIDDEN) for _ in range(2)],
@@ -76,7 +74,7 @@ class Vocabulary:
     bucket: np.ndarray
     chars: np.ndarray  # buckets of all character n-grams
     owner: np.ndarray  # their words
-    share: np.ndarray  # one over the number of a word's n-grams
+    share: np.ndarray  # one over the root of the number of a word's n-grams
 
 
 def vocabulary(words: list[str]) -> Vocabulary:
@@ -86,12 +84,12 @@ def vocabulary(words: list[str]) -> Vocabulary:
     owner = np.concatenate([g[1] for g in grams]) + 1
     order = np.argsort(owner, kind="stable")
     chars, owner = chars[order], owner[order]
-    share = 1 / np.maximum(np.bincount(owner, minlength=len(bucket)), 1)
+    share = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(bucket)), 1))
     return Vocabulary(bucket, chars, owner, share.astype(np.float32))
 
 
 def inputs(net: Net, vocab: Vocabulary) -> np.ndarray:
-    """(words + 1, 2 * WIDTH): own embedding beside the mean of the embeddings of the character n-grams."""
+    """(words + 1, 2 * WIDTH): own embedding beside the scaled sum of the embeddings of the character n-grams."""
     chars = np.zeros((len(vocab.bucket), WIDTH), np.float32)
     if len(vocab.owner):
         starts = np.flatnonzero(np.r_[True, vocab.owner[1:] != vocab.owner[:-1]])
@@ -136,6 +134,7 @@ def logits(net: Net, table: np.ndarray, ids: np.ndarray, keep: bool = False):
 def _direction_back(net: Net, k: int, table: np.ndarray, ids: np.ndarray, trace, d_states: np.ndarray, grads, d_table):
     wh = net.wh[k]
     d_h = np.zeros((ids.shape[0], HIDDEN), np.float32)
+    steps = []
     for t in range(ids.shape[1] - 1, -1, -1):
         h, z, s, new, r_new = trace[t]
         d = d_h + d_states[t]
@@ -146,10 +145,17 @@ def _direction_back(net: Net, k: int, table: np.ndarray, ids: np.ndarray, trace,
         d_r = np.hstack([d_z, d_s, d_new * s])
         grads["wh"][k] += h.T @ d_r
         grads["bias"][k] += d_a.sum(axis=0)
-        word_in = table[ids[:, t]]
-        grads["wx"][k] += word_in.T @ d_a
-        np.add.at(d_table, ids[:, t], d_a @ net.wx[k].T)
+        steps.append(d_a)
         d_h = d * z + d_r @ wh.T
+    inputs_ = _scattered(ids[:, ::-1].T.ravel(), np.concatenate(steps), len(table))
+    grads["wx"][k] += table.T @ inputs_
+    d_table += inputs_ @ net.wx[k].T
+
+
+def _scattered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values of each row."""
+    sums = [np.bincount(rows, weights=column, minlength=n) for column in values.T]
+    return np.stack(sums, axis=1).astype(np.float32)
 
 
 def gradients(net: Net, vocab: Vocabulary, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray):
@@ -175,10 +181,9 @@ def gradients(net: Net, vocab: Vocabulary, ids: np.ndarray, labels: np.ndarray,
     _direction_back(net, 0, table, ids, trace_f, d_both[:, :, :HIDDEN], g, d_table)
     _direction_back(net, 1, table, ids[:, ::-1], trace_b, d_both[::-1, :, HIDDEN:], g, d_table)
     d_table[0] = 0
-    d_word = np.zeros_like(net.word)
-    np.add.at(d_word, vocab.bucket, d_table[:, :WIDTH])
-    d_char = np.zeros_like(net.char)
-    np.add.at(d_char, vocab.chars, (d_table[:, WIDTH:] * vocab.share[:, None])[vocab.owner])
+    d_word = _scattered(vocab.bucket, d_table[:, :WIDTH], len(net.word))
+    d_word[0] = 0
+    d_char = _scattered(vocab.chars, (d_table[:, WIDTH:] * vocab.share[:, None])[vocab.owner], len(net.char))
     return loss, [d_word, d_char, *g["wx"], *g["wh"], *g["bias"], d_attend, d_out]
 
 

@@ -1,16 +1,18 @@
 """Toxicity scores of whole documents from overlapping windows of words.
 
 The network of ``gru`` is trained on the driver from at most ``FIT_DOCS`` labelled documents of each label (expected
-number, chosen by a hash of the id) and scores every window of ``WINDOW`` words, ``STRIDE`` apart, of every text inside
-the tasks. A document's logit is that of its worst window; a logistic curve fitted on labelled documents that the network
-was not trained on turns it into a probability, so that one limit holds for short and long texts.
+number, chosen by a hash of the id, of at most ``FIT_CHARS`` characters each) and scores every window of ``WINDOW`` words,
+``STRIDE`` apart, of every text inside the tasks. A document's logit is that of its worst window; a logistic curve fitted
+on labelled documents that a network of the same kind was not trained on turns it into a probability, so that one limit
+holds for short and long texts. The weights start at random and come from training alone.
 
 Labels are of documents, while insults are single words: in training a document is represented by its most suspicious
 windows (by log odds of its words first, then by the network itself) and one window at random.
 
-Cases: a null or empty text, or one without letters, scores as one empty window; repeated rows score alike; with labels of
-one kind only, or none, every score is the share of toxic labels (0 without labels); a null ``doc_id`` counts as an
-empty text for the split; other columns are not inputs.
+Cases: a null or empty text, or one without letters, scores as one empty window; a very long text is scored whole, by all
+its windows; repeated rows score alike, and windows that tie for the worst give one logit; a document with both labels
+counts as two; with labels of one kind only, or none, every score is the share of toxic labels (0 without labels); a null
+``doc_id`` counts as an empty text for the split; other columns are not inputs.
 """
 
 from __future__ import annotations
@@ -28,9 +30,15 @@ from cohortpulse.llm.common import documents, pieces
 from cohortpulse.llm.words import coded_words
 
 FIT_DOCS = 2500
+#: Longer texts are scored as all others but not trained on, so that the sample has at most FIT_CHARS characters a row.
+FIT_CHARS = 50_000
 WINDOW = 32
 STRIDE = 16
-EPOCHS = 8
+#: Of these, the first find windows by word odds; the last ones learn slowly.
+EPOCHS, ODDS_EPOCHS, SLOW_EPOCH = 16, 6, 10
+RATE = 0.02
+#: Share of the different words of a batch that show their characters only, so that unseen words are told by theirs.
+LEFT_OUT = 0.3
 PRIOR = 4.0
 SEED = 11
 THRESHOLD = 0.7
@@ -75,12 +83,11 @@ def logits(texts: list[str | None], net: gru.Net) -> np.ndarray:
     return out
 
 
-def _log_odds(codes: np.ndarray, counts: np.ndarray, labels: np.ndarray, words: int) -> np.ndarray:
+def _log_odds(codes: np.ndarray, counts: np.ndarray, labels: np.ndarray, share: float, words: int) -> np.ndarray:
     """Of each word: how much likelier documents that have it are toxic, as if ``PRIOR`` average ones had it too."""
     text = np.repeat(np.arange(len(counts)), counts)
     pairs = np.unique(text * max(words, 1) + codes)
     has, word = pairs // max(words, 1), pairs % max(words, 1)
-    share = labels.mean()
     bad = np.bincount(word, weights=labels[has], minlength=words) + PRIOR * share
     good = np.bincount(word, weights=1 - labels[has], minlength=words) + PRIOR * (1 - share)
     return np.log(bad / good) - np.log(share / (1 - share))
@@ -96,27 +103,33 @@ def _chosen(scores: np.ndarray, text: np.ndarray, rng: np.random.Generator, most
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
-    """Three quarters train the network, one quarter fits the curve."""
+    """A network of three quarters gives the curve, on the last quarter; one of all of them scores."""
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(None, (0.0, share))
+    part = np.random.default_rng(seed).permutation(len(labels)) % 4 > 0
+    own, rest = ([t for t, p in zip(texts, part) if p == q] for q in (True, False))
+    curve = _curve(logits(rest, _trained(own, labels[part], seed)), labels[~part])
+    return Model(_trained(texts, labels, seed), curve)
+
+
+def _trained(texts: list[str], labels: np.ndarray, seed: int) -> gru.Net:
     rng = np.random.default_rng(seed)
-    part = rng.permutation(len(labels)) % 4 > 0
-    own, y = [t for t, p in zip(texts, part) if p], labels[part].astype(np.float32)
+    y = labels.astype(np.float32)
     net = gru.new_net(seed)
-    words, codes, counts = coded_words(own)
+    words, codes, counts = coded_words(texts)
     ids, text = window_ids(codes, counts)
     vocab = gru.vocabulary(words)
-    odds = np.r_[0, _log_odds(codes, counts, y, len(words))]
-    np.maximum.at(net.word[:, 0], vocab.bucket[1:], (np.clip(odds[1:], -2, 4) / 2).astype(np.float32))
-    adam = gru.Adam(net, 0.01)
-    suspicion = odds[ids].max(axis=1)
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
+    share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
+    suspicion = np.r_[0, _log_odds(codes, counts, y, share, len(words))][ids].max(axis=1)
+    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    adam = gru.Adam(net, RATE)
     for epoch in range(EPOCHS):
-        if epoch == EPOCHS // 2:  # from here on the network says which windows matter
+        if epoch >= ODDS_EPOCHS:  # from here on the network says which windows matter
             table = gru.inputs(net, vocab)
             suspicion = np.concatenate([gru.logits(net, table, ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)])
-        windows = _chosen(suspicion, text, rng, 1)
+        adam.rate = RATE if epoch < SLOW_EPOCH else 0.3 * RATE
+        windows = _chosen(suspicion, text, rng, 2)
         worst = np.zeros(len(text), bool)
         order = np.lexsort((-suspicion, text))
         worst[order[np.r_[True, text[order][1:] != text[order][:-1]]]] = True
@@ -124,13 +137,12 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
         windows = rng.permutation(windows)
         for i in range(0, len(windows), 256):
             w = windows[i : i + 256]
-            used, ids_here = np.unique(ids[w], return_inverse=True)
-            used = used if used[0] == 0 else np.r_[0, used]
-            ids_here = np.searchsorted(used, ids[w])
-            _, grads = gru.gradients(net, _part(vocab, used), ids_here, y[text[w]], balance[text[w]])
+            used = np.union1d(0, ids[w])
+            here = _part(vocab, used)
+            here.bucket = np.where(rng.random(len(used)) < LEFT_OUT, 0, here.bucket)
+            _, grads = gru.gradients(net, here, np.searchsorted(used, ids[w]), y[text[w]], balance[text[w]])
             adam.apply(grads)
-    rest = [t for t, p in zip(texts, part) if not p]
-    return Model(net, _curve(logits(rest, net), labels[~part]))
+    return net
 
 
 def _part(vocab: gru.Vocabulary, used: np.ndarray) -> gru.Vocabulary:
@@ -166,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     share = F.when(F.col("toxic") == 1, fit_docs / max(sizes.get(1, 1), 1)).otherwise(fit_docs / max(sizes.get(0, 1), 1))
     # bounded by fit_docs, so it is broadcast, and no text is shuffled
     sample = docs.join(F.broadcast(known.where(dice < share)), F.col("doc_id") == F.col("label_id"))
-    rows = sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toPandas()
+    sample = sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = sample.where(F.length("text") <= FIT_CHARS).toPandas()
     rows = rows.sort_values(["doc_id", "toxic", "text"])
     return train(list(rows["text"]), rows["toxic"].to_numpy().astype(np.float64))
 
