@@ -6,12 +6,14 @@ runs of ``BLOCK`` words.
 
 1. Every rolling run of every text probes the index of reference blocks; runs and blocks meet in shards of the hash space.
    A hit is a run that is a reference block somewhere and occurs more than once.
-2. Hits are extended to both sides: each window that covers a hit goes to the shard of its own fingerprint (80 bits),
-   where the first occurrence (smallest ``doc_id``, then start) is found. All other occurrences are repeats. Neighbouring
-   repeats add up to maximal ones.
+2. Hits are extended to both sides: of the windows that cover a hit, a lot sends each different one once, with its first
+   place (smallest ``doc_id``, then start), to the shard of its fingerprint (80 bits), which tells the lots whose first
+   place is not the first of all. There every occurrence is a repeat, elsewhere all but the first of the lot are.
+   Neighbouring repeats add up to maximal ones.
 3. Each document drops the words that its repeats cover.
 
-Cases: a null or empty text has no words; a text of fewer than ``WINDOW`` words keeps all; rows with one ``doc_id`` are one
+Cases: a null or empty text has no words; a text of fewer than ``WINDOW`` words keeps all; a very long text closes its lot
+and is treated whole; ties cannot occur, since a place is a ``doc_id`` and a start; rows with one ``doc_id`` are one
 document, so that repeated rows do not remove each other; a null ``doc_id`` comes after all others; an empty table gives an
 empty result; other columns are not read.
 """
@@ -116,17 +118,17 @@ def _windows(shards: int):
             full, start = full[keep], start[keep]
             if not len(full):
                 continue
-            owner = np.searchsorted(np.cumsum(counts), start, side="right")
-            doc = np.array([NO_ID if i is None else i for i in ids], np.int64)[owner]
-            offset = start - (np.cumsum(counts) - counts)[owner]
+            _, doc, offset = _places(ids, counts, start)
             extra = _second(words, start)
-            shard = _shard_of(full, shards)
-            order = np.lexsort((full, shard))
-            shard = shard[order]
+            order = np.lexsort((offset, doc, extra, full))
+            first_of_lot = order[_opens(full[order], extra[order])]
+            shard = _shard_of(full[first_of_lot], shards)
+            by_shard = np.argsort(shard, kind="stable")
+            shard, sent = shard[by_shard], first_of_lot[by_shard]
             cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
             blobs = []
             for a, b in zip(cuts, np.r_[cuts[1:], len(shard)]):
-                part = order[a:b]
+                part = sent[a:b]
                 columns = (full[part].astype("<u8"), extra[part], doc[part].astype("<i8"), offset[part].astype("<u4"))
                 blobs.append(b"".join(map(planes, columns)))
             yield packed(shard[cuts].tolist(), [lot] * len(cuts), blobs)
@@ -134,6 +136,18 @@ def _windows(shards: int):
     return run
 
 
+def _places(ids: list[int | None], counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, ``doc_id`` and offset in its text of the words at ``start``."""
+    owner = np.searchsorted(np.cumsum(counts), start, side="right")
+    doc = np.array([NO_ID if i is None else i for i in ids], np.int64)[owner]
+    return owner, doc, start - (np.cumsum(counts) - counts)[owner]
+
+
+def _opens(full: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Where sorted fingerprints change."""
+    return np.r_[True, (full[1:] != full[:-1]) | (extra[1:] != extra[:-1])] if len(full) else np.zeros(0, bool)
+
+
 def _second(words: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Sixteen more bits of the fingerprint of the windows at ``start``, from other arithmetic."""
     out = np.zeros(len(start), U64)
@@ -143,7 +157,7 @@ def _second(words: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _later(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """Tells each lot which of its windows occur earlier: document and start."""
+    """Tells each lot which of its windows occur before its own first place."""
     columns: list[list[np.ndarray]] = [[], [], [], [], []]
     for k, (_, blob) in enumerate(held):
         n = len(blob) // 22
@@ -154,33 +168,53 @@ def _later(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     full, extra, doc, start, lot = map(np.concatenate, columns)
     order = np.lexsort((start, doc, extra, full))
     full, extra, doc, start, lot = (c[order] for c in (full, extra, doc, start, lot))
-    new = np.r_[True, (full[1:] != full[:-1]) | (extra[1:] != extra[:-1])]
+    new = _opens(full, extra)
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = np.flatnonzero((doc != doc[first]) | (start != start[first]))
-    later = later[np.lexsort((start[later], doc[later], lot[later]))]
+    later = later[np.argsort(lot[later], kind="stable")]
     cuts = np.flatnonzero(np.r_[True, lot[later][1:] != lot[later][:-1]]) if len(later) else []
     for a, b in zip(cuts, np.r_[cuts[1:], len(later)].astype(int) if len(later) else []):
         part = later[a:b]
-        pairs = np.empty(len(part), [("doc", "<i8"), ("start", "<u4")])
-        pairs["doc"], pairs["start"] = doc[part], start[part]
-        yield held[lot[part[0]]][0], pairs.tobytes()
+        told = np.empty(len(part), _TOLD)
+        told["full"], told["extra"] = full[part], extra[part]
+        yield held[lot[part[0]]][0], told.tobytes()
+
+
+_TOLD = np.dtype([("full", "<u8"), ("extra", "<u2")])
+
+
+def _repeats(ids: list[int | None], texts: list[bytes], told: np.ndarray) -> list[np.ndarray]:
+    """Starts of the windows of each text that occur earlier: those ``told``, and all but the first of the lot."""
+    words, counts, *_ = word_hashes(texts, lower=False)
+    full, start = runs(words, counts, WINDOW)
+    order = np.argsort(full, kind="stable")
+    same = full[order][1:] == full[order][:-1]
+    often = np.r_[same, False] | np.r_[False, same] if len(full) else np.zeros(0, bool)
+    near = np.zeros(len(full), bool)
+    near[order] = often | np.isin(full[order], told["full"])
+    full, start = full[near], start[near]
+    owner, doc, offset = _places(ids, counts, start)
+    n = len(told)
+    full, extra = np.r_[told["full"], full], np.r_[told["extra"], _second(words, start)]
+    own = np.arange(len(full)) >= n  # what was told comes before the lot's own windows
+    owner, doc, offset = (np.r_[np.full(n, -1), c] for c in (owner, doc, offset))
+    order = np.lexsort((offset, doc, own, extra, full))
+    full, extra, own, owner, doc, offset = (c[order] for c in (full, extra, own, owner, doc, offset))
+    new = _opens(full, extra)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = own & (~own[first] | (doc != doc[first]) | (offset != offset[first]))
+    owner, offset = owner[later], offset[later]
+    order = np.lexsort((offset, owner))
+    return np.split(offset[order], np.searchsorted(owner[order], np.arange(1, len(texts))))
 
 
 def _reduced(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lot_before, marks = None, {}
-        for lot, answers, ids, texts in by_lot(batches):
-            if lot != lot_before:
-                told = np.sort(np.frombuffer(answers, [("doc", "<i8"), ("start", "<u4")]), order=["doc", "start"])
-                cuts = np.flatnonzero(np.r_[True, told["doc"][1:] != told["doc"][:-1]]) if len(told) else []
-                ends = np.r_[cuts[1:], len(told)].astype(int) if len(told) else []
-                marks = {int(told["doc"][a]): told["start"][a:b].astype(np.int64) for a, b in zip(cuts, ends)}
-                lot_before = lot
+        for _, answers, ids, texts in by_lot(batches):
             out = []
-            for doc_id, text in zip(ids, texts):
+            for doc_id, text, starts in zip(ids, texts, _repeats(ids, texts, np.frombuffer(answers, _TOLD))):
                 words = text.split()
-                starts = marks.get(NO_ID if doc_id is None else doc_id)
-                gone = _covered(words, starts) if starts is not None else []
+                gone = _covered(starts)
                 for a, b in reversed(gone):
                     del words[a:b]
                 kept = b" ".join(words)
@@ -197,9 +231,8 @@ def _reduced(with_text: bool):
     return run
 
 
-def _covered(words: list[bytes], starts: np.ndarray) -> list[tuple[int, int]]:
+def _covered(starts: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of words covered by the windows at ``starts``."""
-    starts = starts[starts + WINDOW <= len(words)]  # another row of the same doc_id may be longer
     out: list[tuple[int, int]] = []
     for s in starts.tolist():
         if out and s <= out[-1][1]:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -215,6 +216,34 @@ def test_substring_dedup_of_repetitive_texts(spark, texts):
     assert got == without_windows(rows)
 
 
+def test_substring_dedup_of_rows_with_one_id(spark):
+    """Places that repeat in one row are not taken from another row of the same ``doc_id``."""
+    common, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, common), (5, common), (5, other), (5, other), (7, other)]
+    frame = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in frame.collect())
+    assert got == [(1, 0, common), (5, 0, other), (5, 0, other), (5, 30, ""), (7, 30, "")]
+
+
+def test_substring_dedup_sends_a_window_once_a_lot(spark):
+    """A passage of every text is one entry a lot at its shard, not one a text."""
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(20)).encode()
+    lot = {
+        "lot": 3, "kind": 1, "ids": np.arange(200).astype("<i8").tobytes(), "nulls": bytes(200),
+        "lengths": np.full(200, len(text)).astype("<i8").tobytes(), "text": zstandard.compress(text * 200), "answer": None,
+    }
+    (asked,) = substring_dedup._probes(1)(iter([pa.RecordBatch.from_pylist([lot])]))
+    ((_, hits),) = substring_dedup._hits([(3, asked.column("asked")[0].as_py())])
+    told = {**lot, "kind": 0, "answer": hits}
+    (sent,) = substring_dedup._windows(1)(iter([pa.RecordBatch.from_pylist([told, {**lot, "answer": b""}])]))
+    assert len(sent.column("asked")[0].as_py()) == 22
+    assert not list(substring_dedup._later([(3, sent.column("asked")[0].as_py())]))
+    (out,) = substring_dedup._reduced(False)(iter([pa.RecordBatch.from_pylist([lot])]))
+    assert out.column("n_removed").to_pylist() == [0, *[20] * 199]
+
+
 def test_substring_dedup_of_odd_rows(spark):
     rows = substring_dedup.without_repeats(table(spark, ODD)).collect()
     assert len(rows) == len(ODD)
