@@ -18,6 +18,8 @@ CHAR_BUCKETS = 1 << 16
 CHAR_SIZES = (3, 4, 5, 6)
 WIDTH = 12  # of the embedding of a word, and of that of its characters
 HIDDEN = 8
+#: Words whose n-grams are summed at a time.
+SOME_WORDS = 4096
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -80,8 +82,8 @@ class Vocabulary:
 def vocabulary(words: list[str]) -> Vocabulary:
     bucket = np.r_[0, word_buckets(words)]
     grams = ngram_buckets(words, CHAR_SIZES, CHAR_BUCKETS)
-    chars = np.concatenate([g[0] for g in grams])
-    owner = np.concatenate([g[1] for g in grams]) + 1
+    chars = np.concatenate([g[0].astype(np.int32) for g in grams])
+    owner = np.concatenate([g[1].astype(np.int32) for g in grams]) + np.int32(1)
     order = np.argsort(owner, kind="stable")
     chars, owner = chars[order], owner[order]
     share = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(bucket)), 1))
@@ -91,9 +93,13 @@ def vocabulary(words: list[str]) -> Vocabulary:
 def inputs(net: Net, vocab: Vocabulary) -> np.ndarray:
     """(words + 1, 2 * WIDTH): own embedding beside the scaled sum of the embeddings of the character n-grams."""
     chars = np.zeros((len(vocab.bucket), WIDTH), np.float32)
-    if len(vocab.owner):
-        starts = np.flatnonzero(np.r_[True, vocab.owner[1:] != vocab.owner[:-1]])
-        chars[vocab.owner[starts]] = np.add.reduceat(net.char[vocab.chars], starts, axis=0)
+    ends = np.searchsorted(vocab.owner, np.arange(len(vocab.bucket)), side="right")
+    for a in range(1, len(vocab.bucket), SOME_WORDS):  # the embeddings of all n-grams together would be large
+        first, last = ends[a - 1], ends[min(a + SOME_WORDS, len(vocab.bucket)) - 1]
+        owner = vocab.owner[first:last]
+        if len(owner):
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            chars[owner[starts]] = np.add.reduceat(net.char[vocab.chars[first:last]], starts, axis=0)
     return np.hstack([net.word[vocab.bucket], chars * vocab.share[:, None]])
 
 
