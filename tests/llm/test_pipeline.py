@@ -52,3 +52,28 @@ def test_run_gives_the_last_stage(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "sequence_id", "offset", "ids"} <= set(rows.columns)
     assert rows.count() > 0
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf_dir, tmp_path):
+    """Nulls, repeated rows, a very long text and columns named like those that the stages use; then no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int, text_hash string, stays int, rows int, copies int"
+    long = " ".join(f"word{i}" for i in range(60_000))
+    told = [
+        (1, "the cat sat on the mat today", "en", "a"), (1, "the cat sat on the mat today", "en", "a"),
+        (2, None, "en", None), (3, "", None, "a"), (None, "a text without any id at all", None, None),
+        (4, long, "en", "b"), (5, "the  cat sat on the mat today", "en", "b"), (6, "123 456", "de", "b"),
+    ]
+    odd = spark.createDataFrame([(*r, None, "x", 1, 2, 3) for r in told], schema)
+    for label, docs in (("odd", odd), ("empty", odd.limit(0))):
+        kept = []
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, sf_dir).write.parquet(str(tmp_path / f"{label}-{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{label}-{name}"))
+            kept.append(docs)
+            assert name == "packing" or docs.columns == odd.columns
+        counts = [d.count() for d in kept]
+        if label == "empty":
+            assert counts == [0] * 5
+        else:
+            assert counts[:3] == [5, 3, 3] and counts[4] > 0
+            assert {r["doc_id"] for r in kept[2].collect()} == {None, 4, 5}
