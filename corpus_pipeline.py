@@ -2,6 +2,11 @@
 
 Each stage calls one operator of ``cohortpulse.llm`` on all that its predecessor kept; all but the last return the columns
 of their input.
+
+Cases: texts without a letter, null or empty ones among them, go in the first stage; of repeated rows and equal texts one
+row stays, also where the rows are equal in every column; a null ``doc_id`` is kept and comes after all others; very long
+texts are treated whole and packed into several sequences; columns of any other name pass through unread; an empty table
+gives empty results in every stage.
 """
 
 from __future__ import annotations
