@@ -32,6 +32,7 @@ ENTRY = np.dtype(
     [("digest", "<u8", 4), ("norm", "<i8"), ("points", "<i8"), ("null", "u1"), ("doc", "<i8"), ("row", "<i8"), ("rows", "<i8")]
 )
 _RUN = "shard int, run long, first binary, entries binary"
+_KEPT = "keep_digest binary, keep_id long, keep_null boolean, keep_row long, group_size long"
 
 
 def _reduced(entries: np.ndarray) -> np.ndarray:
@@ -148,6 +149,11 @@ def _winners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+def _decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last merge and its winners in one worker; as two steps of one stage they would hold two workers a task."""
+    return _winners(_merge(batches))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """``row, run, doc_id, digest, points, norm, text_hash`` of every row; written once, so that ``row`` is settled."""
     norm = without_spaces(F.col("text"))
@@ -173,17 +179,15 @@ def groups(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     ids = F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("known_id")
     runs = rows.select("run", *ids, "digest", "points", "norm", "row").mapInPandas(_first_runs(shards), _RUN)
     last = rows.agg(F.max("run")).first()[0] or 0
-    for _ in range(max(1, math.ceil(math.log(last + 1, fan_in) - 1e-9))):
-        runs = (
+    rounds = max(1, math.ceil(math.log(last + 1, fan_in) - 1e-9))
+    for i in range(rounds):
+        dealt = (
             runs.withColumn("run", F.expr(f"run div {fan_in}"))
             .repartition(shards, "shard", "run")
             .sortWithinPartitions("shard", "run", "first")
-            .mapInPandas(_merge, _RUN)
         )
-    kept = runs.mapInPandas(
-        _winners, "keep_digest binary, keep_id long, keep_null boolean, keep_row long, group_size long"
-    )
-    return kept.select(
+        runs = dealt.mapInPandas(_merge, _RUN) if i + 1 < rounds else dealt.mapInPandas(_decided, _KEPT)
+    return runs.select(
         "keep_digest", F.when(~F.col("keep_null"), F.col("keep_id")).alias("keep_id"), "keep_row", "group_size"
     )
 
