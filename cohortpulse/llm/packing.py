@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortpulse.llm.common import U64, documents, mixed, pieces, shuffle_partitions
+from cohortpulse.llm.common import U64, documents, mixed, shuffle_partitions, text_pieces
 from cohortpulse.llm.tokens import VOCABULARY, encoder
 from cohortpulse.sources.scratch import written
 
@@ -63,9 +63,10 @@ def _tokenised(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).ids
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in pieces(np.array([len(t) for t in texts]), PIECE):
-                ids = [np.append(x, np.uint16(END)) for x in encode(texts[a:b])]
+            texts = batch.column("text")
+            for a, b in text_pieces(texts, PIECE):
+                part = [t or "" for t in texts.slice(a, b - a).to_pylist()]
+                ids = [np.append(x, np.uint16(END)) for x in encode(part)]
                 lexical = [int(_LEXICAL[x].min()) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
