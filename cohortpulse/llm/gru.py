@@ -6,7 +6,7 @@ logistic unit scores the pool. A word's input is the sum of its own hashed embed
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -18,8 +18,9 @@ CHAR_BUCKETS = 1 << 16
 CHAR_SIZES = (3, 4, 5, 6)
 WIDTH = 12  # of the embedding of a word, and of that of its characters
 HIDDEN = 8
-#: Words whose n-grams are summed at a time.
-SOME_WORDS = 4096
+#: Words whose n-grams are summed at a time, and numbers that a step of training changes at a time.
+SOME_WORDS = 1024
+SOME_NUMBERS = 1 << 15
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -75,8 +76,14 @@ class Vocabulary:
 
     bucket: np.ndarray
     chars: np.ndarray  # buckets of all character n-grams
-    owner: np.ndarray  # their words
-    share: np.ndarray  # one over the root of the number of a word's n-grams
+    owner: np.ndarray  # their words, ascending
+    share: np.ndarray = field(init=False)  # one over the root of the number of a word's n-grams
+    ends: np.ndarray = field(init=False)  # of the n-grams of each word
+
+    def __post_init__(self):
+        number = np.bincount(self.owner, minlength=len(self.bucket))
+        self.share = (1 / np.sqrt(np.maximum(number, 1))).astype(np.float32)
+        self.ends = np.cumsum(number)
 
 
 def vocabulary(words: list[str]) -> Vocabulary:
@@ -85,89 +92,116 @@ def vocabulary(words: list[str]) -> Vocabulary:
     chars = np.concatenate([g[0].astype(np.int32) for g in grams])
     owner = np.concatenate([g[1].astype(np.int32) for g in grams]) + np.int32(1)
     order = np.argsort(owner, kind="stable")
-    chars, owner = chars[order], owner[order]
-    share = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(bucket)), 1))
-    return Vocabulary(bucket, chars, owner, share.astype(np.float32))
+    return Vocabulary(bucket, chars[order], owner[order])
 
 
 def inputs(net: Net, vocab: Vocabulary) -> np.ndarray:
     """(words + 1, 2 * WIDTH): own embedding beside the scaled sum of the embeddings of the character n-grams."""
-    chars = np.zeros((len(vocab.bucket), WIDTH), np.float32)
-    ends = np.searchsorted(vocab.owner, np.arange(len(vocab.bucket)), side="right")
-    for a in range(1, len(vocab.bucket), SOME_WORDS):  # the embeddings of all n-grams together would be large
-        first, last = ends[a - 1], ends[min(a + SOME_WORDS, len(vocab.bucket)) - 1]
-        owner = vocab.owner[first:last]
-        if len(owner):
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            chars[owner[starts]] = np.add.reduceat(net.char[vocab.chars[first:last]], starts, axis=0)
-    return np.hstack([net.word[vocab.bucket], chars * vocab.share[:, None]])
-
-
-def _direction(x: np.ndarray, wh: np.ndarray, ids: np.ndarray, keep: bool):
-    """States of all steps; ``x`` holds the projected input of each word."""
-    n, steps = ids.shape
+    n = len(vocab.bucket)
+    chars = np.zeros((n, WIDTH), np.float32)
+    for a in range(1, n, SOME_WORDS):  # the embeddings of all n-grams together would be large
+        b = min(a + SOME_WORDS, n)
+        begin, end = vocab.ends[a - 1 : b - 1], vocab.ends[a:b]
+        some = end > begin
+        if some.any():
+            grams = net.char.take(vocab.chars[begin[0] : end[-1]], axis=0)
+            chars[a:b][some] = np.add.reduceat(grams, begin[some] - begin[0], axis=0)
+    return np.hstack([net.word.take(vocab.bucket, axis=0), chars * vocab.share[:, None]])
+
+
+def projected(net: Net, table: np.ndarray) -> list[list[np.ndarray]]:
+    """What each word gives to the update gate, the reset gate and the new state: (words + 1, HIDDEN) each, for each
+    direction. Whole rows of these are cheaper to take and to work on than parts of wider ones."""
+    return [_gates(table @ wx + bias) for wx, bias in zip(net.wx, net.bias)]
+
+
+def _gates(x: np.ndarray) -> list[np.ndarray]:
+    return [np.ascontiguousarray(x[:, a : a + HIDDEN]) for a in range(0, 3 * HIDDEN, HIDDEN)]
+
+
+def _direction(x: list[np.ndarray], wh: np.ndarray, ids: np.ndarray, states: np.ndarray, keep: bool) -> list:
+    """Fills the states of all steps; ``x`` holds the projected input of each word, ``ids`` is (steps, windows)."""
+    weights = _gates(wh)
+    n = ids.shape[1]
     h = np.zeros((n, HIDDEN), np.float32)
-    states = np.empty((steps, n, HIDDEN), np.float32)
+    z, s, new, r = np.empty((4, n, HIDDEN), np.float32)
     trace = []
-    for t in range(steps):
-        a = x[ids[:, t]]
-        r = h @ wh
-        gates = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + r[:, : 2 * HIDDEN])))
-        z, s = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        new = np.tanh(a[:, 2 * HIDDEN :] + s * r[:, 2 * HIDDEN :])
+    for at, state in zip(ids, states):
         if keep:
-            trace.append((h, z, s, new, r[:, 2 * HIDDEN :]))
-        h = new + z * (h - new)
-        states[t] = h
-    return states, trace
-
-
-def logits(net: Net, table: np.ndarray, ids: np.ndarray, keep: bool = False):
-    """Score of each window; ``ids`` (windows, words) indexes ``table``, 0 is padding."""
-    forward, trace_f = _direction(table @ net.wx[0] + net.bias[0], net.wh[0], ids, keep)
-    backward, trace_b = _direction(table @ net.wx[1] + net.bias[1], net.wh[1], ids[:, ::-1], keep)
-    both = np.concatenate([forward, backward[::-1]], axis=2)
+            z, s, new, r = np.empty((4, n, HIDDEN), np.float32)
+        for k, gate in enumerate((z, s)):
+            np.take(x[k], at, axis=0, out=gate, mode="clip")
+            gate += np.matmul(h, weights[k], out=r)
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.divide(1, gate, out=gate)
+        np.take(x[2], at, axis=0, out=new, mode="clip")
+        new += s * np.matmul(h, weights[2], out=r)
+        np.tanh(new, out=new)
+        if keep:
+            trace.append((h, z, s, new, r))
+        h = h - new
+        h *= z
+        h += new
+        state[:] = h
+    return trace
+
+
+def logits(net: Net, words: list[list[np.ndarray]], ids: np.ndarray, keep: bool = False):
+    """Score of each window; ``ids`` (windows, words) indexes the ``projected`` words, 0 is padding."""
+    steps = np.ascontiguousarray(ids.T)
+    both = np.empty((*steps.shape, 2 * HIDDEN), np.float32)
+    trace_f = _direction(words[0], net.wh[0], steps, both[:, :, :HIDDEN], keep)
+    trace_b = _direction(words[1], net.wh[1], steps[::-1], both[::-1, :, HIDDEN:], keep)
     raw = both @ net.attend
-    raw[(ids == 0).T] = -30
+    raw[steps == 0] = -30
     raw -= raw.max(axis=0)
     weight = np.exp(raw)
     weight /= weight.sum(axis=0)
-    pool = (both * weight[:, :, None]).sum(axis=0)
+    pool = both[0] * weight[0][:, None]
+    for state, w in zip(both[1:], weight[1:]):
+        pool += state * w[:, None]
     score = pool @ net.out[:-1] + net.out[-1]
     return (score, (both, weight, pool, trace_f, trace_b)) if keep else score
 
 
 def _direction_back(net: Net, k: int, table: np.ndarray, ids: np.ndarray, trace, d_states: np.ndarray, grads, d_table):
     wh = net.wh[k]
-    d_h = np.zeros((ids.shape[0], HIDDEN), np.float32)
-    steps = []
-    for t in range(ids.shape[1] - 1, -1, -1):
+    count, n = ids.shape
+    d_h = np.zeros((n, HIDDEN), np.float32)
+    steps = np.empty((count, n, 3 * HIDDEN), np.float32)
+    for t, d_a in zip(range(count - 1, -1, -1), steps):
         h, z, s, new, r_new = trace[t]
         d = d_h + d_states[t]
-        d_z = d * (h - new) * z * (1 - z)
         d_new = d * (1 - z) * (1 - new * new)
-        d_s = d_new * r_new * s * (1 - s)
-        d_a = np.hstack([d_z, d_s, d_new])
-        d_r = np.hstack([d_z, d_s, d_new * s])
+        d_a[:, :HIDDEN] = d * (h - new) * z * (1 - z)
+        d_a[:, HIDDEN : 2 * HIDDEN] = d_new * r_new * s * (1 - s)
+        d_a[:, 2 * HIDDEN :] = d_new
+        d_r = d_a.copy()
+        d_r[:, 2 * HIDDEN :] = d_new * s
         grads["wh"][k] += h.T @ d_r
         grads["bias"][k] += d_a.sum(axis=0)
-        steps.append(d_a)
         d_h = d * z + d_r @ wh.T
-    inputs_ = _scattered(ids[:, ::-1].T.ravel(), np.concatenate(steps), len(table))
+    inputs_ = _scattered(ids[::-1].ravel(), steps.reshape(-1, 3 * HIDDEN), len(table))
     grads["wx"][k] += table.T @ inputs_
     d_table += inputs_ @ net.wx[k].T
 
 
-def _scattered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values of each row."""
-    sums = [np.bincount(rows, weights=column, minlength=n) for column in values.T]
-    return np.stack(sums, axis=1).astype(np.float32)
+def _scattered(rows: np.ndarray, values: np.ndarray, n: int, owner: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the values of each row; with ``owner``, of ``values[owner]``."""
+    rows = rows.astype(np.intp, copy=False)
+    out = np.empty((n, values.shape[1]), np.float32)
+    for k, column in enumerate(np.ascontiguousarray(values.T, np.float64)):
+        out[:, k] = np.bincount(rows, column if owner is None else column.take(owner), n)
+    return out
 
 
 def gradients(net: Net, vocab: Vocabulary, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray):
     """Loss (logistic, weighted) and its gradients as lists in the order of ``parameters``."""
     table = inputs(net, vocab)
-    score, (both, weight, pool, trace_f, trace_b) = logits(net, table, ids, keep=True)
+    score, (both, weight, pool, trace_f, trace_b) = logits(net, projected(net, table), ids, keep=True)
+    steps = ids.T
     p = sigmoid(score)
     total = weights.sum()
     loss = -(weights * (labels * np.log(p + 1e-9) + (1 - labels) * np.log(1 - p + 1e-9))).sum() / total
@@ -184,12 +218,12 @@ def gradients(net: Net, vocab: Vocabulary, ids: np.ndarray, labels: np.ndarray,
     d_attend = np.einsum("tn,tnh->h", d_raw, both)
     d_both = weight[:, :, None] * d_pool + d_raw[:, :, None] * net.attend
     d_table = np.zeros_like(table)
-    _direction_back(net, 0, table, ids, trace_f, d_both[:, :, :HIDDEN], g, d_table)
-    _direction_back(net, 1, table, ids[:, ::-1], trace_b, d_both[::-1, :, HIDDEN:], g, d_table)
+    _direction_back(net, 0, table, steps, trace_f, d_both[:, :, :HIDDEN], g, d_table)
+    _direction_back(net, 1, table, steps[::-1], trace_b, d_both[::-1, :, HIDDEN:], g, d_table)
     d_table[0] = 0
     d_word = _scattered(vocab.bucket, d_table[:, :WIDTH], len(net.word))
     d_word[0] = 0
-    d_char = _scattered(vocab.chars, (d_table[:, WIDTH:] * vocab.share[:, None])[vocab.owner], len(net.char))
+    d_char = _scattered(vocab.chars, d_table[:, WIDTH:] * vocab.share[:, None], len(net.char), vocab.owner)
     return loss, [d_word, d_char, *g["wx"], *g["wh"], *g["bias"], d_attend, d_out]
 
 
@@ -206,7 +240,10 @@ class Adam:
     def apply(self, grads: list[np.ndarray]) -> None:
         self.step += 1
         scale = self.rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
-        for p, m, v, g in zip(self.parameters, self.first, self.second, grads):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= (scale * m / (np.sqrt(v) + 1e-8)).astype(p.dtype)
+        for whole in zip(self.parameters, self.first, self.second, grads):
+            flat = [x.reshape(-1) for x in whole]
+            for a in range(0, len(flat[0]), SOME_NUMBERS):  # so few stay in the processor's cache
+                p, m, v, g = (x[a : a + SOME_NUMBERS] for x in flat)
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= (scale * m / (np.sqrt(v) + 1e-8)).astype(p.dtype)

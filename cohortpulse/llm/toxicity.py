@@ -44,7 +44,7 @@ SEED = 11
 THRESHOLD = 0.7
 #: Characters handled at a time, and windows that go through the network together.
 PIECE = 3_000_000
-BATCH = 4096
+BATCH = 1024
 
 
 @dataclass
@@ -77,12 +77,16 @@ def logits(texts: list[str | None], net: gru.Net) -> np.ndarray:
     for a, b in pieces(np.array([len(t) if t else 0 for t in texts]), PIECE):
         words, codes, counts = coded_words(texts[a:b])
         ids, text = window_ids(codes, counts)
-        table = gru.inputs(net, gru.vocabulary(words))
-        scores = np.concatenate([gru.logits(net, table, ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)])
+        scores = _window_logits(net, gru.vocabulary(words), ids)
         out[a:b] = np.maximum.reduceat(scores, np.flatnonzero(np.r_[True, text[1:] != text[:-1]]))
     return out
 
 
+def _window_logits(net: gru.Net, vocab: gru.Vocabulary, ids: np.ndarray) -> np.ndarray:
+    words = gru.projected(net, gru.inputs(net, vocab))
+    return np.concatenate([gru.logits(net, words, ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)])
+
+
 def _log_odds(codes: np.ndarray, counts: np.ndarray, labels: np.ndarray, share: float, words: int) -> np.ndarray:
     """Of each word: how much likelier documents that have it are toxic, as if ``PRIOR`` average ones had it too."""
     text = np.repeat(np.arange(len(counts)), counts)
@@ -126,8 +130,7 @@ def _trained(texts: list[str], labels: np.ndarray, seed: int) -> gru.Net:
     adam = gru.Adam(net, RATE)
     for epoch in range(EPOCHS):
         if epoch >= ODDS_EPOCHS:  # from here on the network says which windows matter
-            table = gru.inputs(net, vocab)
-            suspicion = np.concatenate([gru.logits(net, table, ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)])
+            suspicion = _window_logits(net, vocab, ids)
         adam.rate = RATE if epoch < SLOW_EPOCH else 0.3 * RATE
         windows = _chosen(suspicion, text, rng, 2)
         worst = np.zeros(len(text), bool)
@@ -147,12 +150,11 @@ def _trained(texts: list[str], labels: np.ndarray, seed: int) -> gru.Net:
 
 def _part(vocab: gru.Vocabulary, used: np.ndarray) -> gru.Vocabulary:
     """The words ``used`` (sorted, 0 first) of a vocabulary."""
-    begin, end = np.searchsorted(vocab.owner, used), np.searchsorted(vocab.owner, used, side="right")
+    end = vocab.ends[used]
+    begin = np.where(used > 0, vocab.ends[used - 1], 0)
     lengths = end - begin
     at = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    return gru.Vocabulary(
-        vocab.bucket[used], vocab.chars[at], np.repeat(np.arange(len(used)), lengths), vocab.share[used]
-    )
+    return gru.Vocabulary(vocab.bucket[used], vocab.chars[at], np.repeat(np.arange(len(used)), lengths))
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
